@@ -7,6 +7,7 @@ unset (tests on one machine).
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def share_package(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, besides their own path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
