@@ -6,16 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fragmill.llm import minhash
+from fragmill.llm import decontam, ftrl, hilbert, langid, minhash, mixing, tiff
 from fragmill.llm.runtime import table
 
 
+def op1_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op1(table(spark, sf_dir, "documents"))
+
+
+def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.op2(table(spark, sf_dir, "documents"))
+
+
+def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ftrl.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_bitmask_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pivotal_mixing": op1_pivotal_mixing,
+    "op2_tiff_pages": op2_tiff_pages,
+    "op5_ftrl_toxicity": op5_ftrl_toxicity,
+    "op7_hilbert_sharding": op7_hilbert_sharding,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_aho_corasick_decontamination": op9_aho_corasick_decontamination,
+    "op10_bitmask_language_id": op10_bitmask_language_id,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_aho_corasick_decontamination": decontam.ORACLE,
+}
