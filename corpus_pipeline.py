@@ -1,28 +1,59 @@
-"""A training-data pipeline over documents, stage by stage."""
+"""A training-data pipeline over documents: five stages, each on all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last keep the columns of documents.  Rows that a stage drops are gone for the
+next.  Repeated rows, nulls and empty texts pass unless a stage's own rule
+takes them; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from fragmill.llm import minhash
-from fragmill.llm.runtime import cut, table
+from fragmill.llm import decontam, ftrl, hilbert, minhash, mixing
+from fragmill.llm.runtime import discard, table, written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity of 0.5 or more go; the model is fitted on labelled documents outside the held-out fold."""
+    model = ftrl.fit(docs, table(spark, sf_dir, "labels"))
+    return ftrl.score(docs, model).where("score < 0.5").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, similarity 0.8 or more."""
+    """One document of each group of near copies stays, the one of smallest id: five words, similarity 0.8 or more."""
     groups = minhash.near_duplicates(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth of their words or more inside passages of the benchmark go."""
+    return decontam.measured(decontam.scan(docs, table(spark, sf_dir, "benchmark"))).where("NOT contaminated").select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that sources come near their target weights."""
+    return mixing.copied(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of each row that is left, along the Hilbert curve."""
+    return hilbert.op7(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("sharding", sharding)]
 
+#: The stages are fitted models, sketches and random draws: no SQL; tests hold each against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn; each is written as Parquet in the shared folder, and what it read is deleted then."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs, path = written(stage(spark, docs, sf_dir))
+        if last:
+            discard(spark, last)
+        last = path
     return docs
