@@ -7,16 +7,17 @@ round SIZE + j every element falls into bin j, so every coordinate is filled
 after at most 2 * SIZE rounds, and the share of equal coordinates of two
 sketches concentrates around their Jaccard similarity (Dahlgaard, Knudsen and
 Thorup, 2017).  Bands of ``ROWS`` coordinates propose candidates: at a
-similarity of 0.8 a pair shares no band with probability below 1e-7, at 0.85
-below 1e-10.
+similarity of 0.8 a pair shares no band with probability 3e-7, at 0.85 2e-9.
 
 Links are decided on the full sets.  Documents with equal sets form one class
 and only its smallest id goes on.  Within a bucket no all-pairs list is made:
-seeded stars merge most members first; the members still outside the bucket's
-largest component are then compared, in blocks, with every member of another
-component, so no link between components is lost, however large a bucket is.
+seeded stars merge most members first.  Components that still meet in some
+bucket form clusters; the members outside a cluster's largest component are
+then compared, in blocks, with every member of another component that shares a
+band, so no link between components is lost, however large a bucket is.
 
-Nulls and empty texts have an empty set, are linked with nothing and stay.
+Null and empty texts have an empty set, are linked with nothing and stay; a null
+doc_id takes the component of its set.
 Rows that repeat a doc_id share one component, linked by the text of any of them.
 An empty table gives an empty result.
 """
@@ -34,15 +35,15 @@ from fragmill.llm import bytesops as B
 from fragmill.llm.components import connected_components
 from fragmill.llm.runtime import cut
 
-SIZE, ROWS = 128, 4
+SIZE, ROWS = 64, 3
 BANDS = SIZE // ROWS
-#: Stars of a round for each bucket, and rounds of stars before the block comparison.
-LEADERS, ROUNDS = 2, 3
+#: Rounds of stars before the block comparison.
+ROUNDS = 3
 #: Members of one block of the final comparison.
 BLOCK = 256
 
 _rng = np.random.default_rng(20170417)
-_SEEDS = _rng.integers(0, 1 << 63, 2 * SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = _rng.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _UNSET = np.iinfo(np.uint64).max
 
@@ -89,7 +90,7 @@ def sketches(elements: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> np.
             ends = np.cumsum(sizes)
             within = np.arange(int(ends[-1])) - np.repeat(ends - sizes, sizes)
             x, row = elements[np.repeat(offsets[open_], sizes) + within], np.repeat(np.arange(len(open_)), sizes)
-        x = B.mix64(x * _SEEDS[r] + _SEEDS[(r + 1) % (2 * size)])
+        x = B.mix64(x * _SEEDS[r] + _SEEDS[1023 - r])
         bins = (x >> shift).astype(np.int64) if r < size else np.full(len(x), r - size)
         value = ((x & B.U64((1 << 45) - 1)) | B.U64(r << 45)).astype(B.U64)
         fresh = np.full(len(open_) * size if r else len(counts) * size, _UNSET, B.U64)
@@ -189,9 +190,12 @@ def pair_checker(percent: int):
 
 
 def block_checker(percent: int):
-    """Links between components inside one block of a bucket; a pair counts in the first band it shares."""
+    """Links between components inside one block of a cluster, of pairs that share a band.
 
-    def links(band: int, rep: np.ndarray, comp: np.ndarray, probe: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    Only links that join what the block has not joined yet are given: fewer than it has components.
+    """
+
+    def links(rep: np.ndarray, comp: np.ndarray, probe: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         member = np.flatnonzero(~probe)
         if not len(member) or len(member) == len(rep):
             return
@@ -199,39 +203,40 @@ def block_checker(percent: int):
         flat = np.concatenate([sets[k] for k in member])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         for p in np.flatnonzero(probe):
-            open_ = comp[member] != comp[p]
             n = len(sets[p])
+            open_ = comp[member] != comp[p]
             open_ &= 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
-            if band:
-                open_ &= ~(bands[member, :band] == bands[p, :band]).any(axis=1)
+            open_ &= (bands[member] == bands[p]).any(axis=1)
             if not open_.any():
                 continue
             at = np.searchsorted(sets[p], flat)
             hit = sets[p][np.minimum(at, n - 1)] == flat
             same = np.add.reduceat(hit.astype(np.int64), starts)
             for k in np.flatnonzero(open_ & (100 * same >= percent * (sizes + n - same))):
-                yield int(rep[p]), int(rep[member[k]])
+                if comp[member[k]] != comp[p]:
+                    yield int(rep[p]), int(rep[member[k]])
+                    comp[comp == comp[member[k]]] = comp[p]
 
-    def flush(key: tuple[int, int, int], rows: list) -> pa.RecordBatch:
+    def flush(rows: list) -> pa.RecordBatch:
         rep, comp, probe, bands, sets = zip(*rows, strict=True)
-        found = list(links(key[0], np.array(rep), np.array(comp), np.array(probe, bool), np.stack(bands), list(sets)))
+        found = list(links(np.array(rep), np.array(comp), np.array(probe, bool), np.stack(bands), list(sets)))
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by band, bucket and block."""
+        """Rows come sorted by cluster and block."""
         key, rows = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "bucket", "block")), strict=True))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "block")), strict=True))
             rep, comp, probe = (batch.column(c).to_pylist() for c in ("rep", "comp", "probe"))
             bands, sets = batch.column("bands"), batch.column("elements")
             for k, now in enumerate(keys):
                 if now != key and rows:
-                    yield flush(key, rows)
+                    yield flush(rows)
                     rows = []
                 key = now
-                rows.append((rep[k], comp[k], probe[k], bands[k].values.to_numpy(zero_copy_only=False), sets[k].values.to_numpy(zero_copy_only=False)))
+                rows.append((rep[k], comp[k], probe[k], bands[k].values.to_numpy(zero_copy_only=False), sets[k].values.to_numpy(zero_copy_only=False).view(B.U64)))
         if rows:
-            yield flush(key, rows)
+            yield flush(rows)
 
     return run
 
@@ -261,22 +266,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     comps = ids.select("rep", F.col("rep").alias("comp"))
     for seed in range(ROUNDS):
         now = buckets.join(comps, "rep")
-        sizes = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(seed * LEADERS + k), "rep").alias("h"), "rep")).alias(f"l{k}") for k in range(LEADERS)])
-        stars = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("n", F.col("l0.h").alias("h"), "comp", F.array(*[F.col(f"l{k}.rep") for k in range(LEADERS)]).alias("leaders"))).alias("top")).where("comps > 1")
-        pairs = now.join(stars, "bucket").where("comp <> top.comp").select(F.explode(F.array_distinct("top.leaders")).alias("a"), F.col("rep").alias("b")).distinct()
+        lead = F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), "rep"))
+        sizes = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"), lead.alias("lead"))
+        stars = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("n", -F.col("lead.h"), "comp", "lead")).alias("top")).where("comps > 1")
+        pairs = now.join(stars, "bucket").where("comp <> top.comp").groupBy(F.col("rep").alias("b")).agg(F.min("top.lead").alias("lead")).select(F.col("lead.rep").alias("a"), "b")
         found = cut(checked(pairs))
         if found.isEmpty():
             break
         links = links.unionByName(found)
         comps = connected_components(ids.withColumnRenamed("rep", "id"), links).toDF("rep", "comp")
 
+    # Components that still meet in a bucket form clusters; what is outside a cluster's largest component meets all of it.
     now = buckets.join(comps, "rep")
-    tops = now.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("members"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
-    now = now.join(tops.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.col("top.comp").alias("top")), "bucket")
+    tops = now.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
+    meets = cut(now.join(tops.select("bucket", "a"), "bucket").select("a", F.col("comp").alias("b")).where("a < b").distinct())
+    nodes = meets.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    clusters = connected_components(nodes, meets).toDF("comp", "cluster")
+    open_ = cut(comps.join(clusters, "comp"))
+    sizes = open_.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.max(F.struct("n", "comp")).alias("top"))
+    open_ = open_.join(sizes, "cluster")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("bigint")).cast("int")
-    members = now.select("band", "bucket", block.alias("block"), "rep", "comp", F.lit(False).alias("probe"))
-    probes = now.where("comp <> top").select("band", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "comp", F.lit(True).alias("probe"))
-    rows = members.unionByName(probes).join(sets, "rep").repartition("band", "bucket", "block").sortWithinPartitions("band", "bucket", "block")
+    members = open_.select("cluster", block.alias("block"), "rep", "comp", F.lit(False).alias("probe"))
+    probes = open_.where("comp <> top.comp").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "comp", F.lit(True).alias("probe"))
+    rows = members.unionByName(probes).join(sets, "rep").repartition("cluster", "block").sortWithinPartitions("cluster", "block")
     last = cut(rows.mapInArrow(block_checker(percent), "a long, b long"))
     if not last.isEmpty():
         comps = connected_components(ids.withColumnRenamed("rep", "id"), links.unionByName(last)).toDF("rep", "comp")
