@@ -1 +1 @@
-
+"""Relational, graph and ranking operators over lazy tables."""

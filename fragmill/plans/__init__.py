@@ -1 +1 @@
-
+"""Query plans: specifications, estimates, ordered steps, scripts."""
