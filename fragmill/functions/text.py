@@ -164,7 +164,7 @@ def abbreviations(phrase: str, most: int = 5_000) -> list[str]:
     words = [w for w in re.split(r"[^a-z0-9]+", phrase.lower()) if w]
     per = []
     for w in words:
-        bones = w[:1] + re.sub("[aeiou]", "", w[1:])
+        bones = w[:1] + re.sub(r"(.)\1+", r"\1", re.sub("[aeiou]", "", w[1:]))
         per.append(list(dict.fromkeys([*(w[:k] for k in range(1, len(w) + 1)), *(bones[:k] for k in range(2, len(bones) + 1)), w[0] + str(len(w) - 2) + w[-1] if len(w) > 3 else w])))
     joined = ("".join(parts) for parts in itertools.product(*per)) if per else ()
     initials = ["".join(w[0] for w in words)] if len(words) > 1 else []

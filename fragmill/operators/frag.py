@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fragmill.model import EDGES, HITS, PATHS, VERDICTS, Context
 from fragmill.operators.units import QueryUnit, evaluate
+from fragmill.session import cut
 
 EDGE_KEY = ["src", "dst", "kind"]
 
@@ -31,24 +32,31 @@ class Frag:
     hits: DataFrame
     verdicts: DataFrame
     paths: DataFrame
+    #: Tables known to be empty without a job; operators leave them alone.
+    blank: frozenset[str] = frozenset()
 
     __hash__ = None
 
     @classmethod
     def of(cls, nodes: DataFrame, edges: DataFrame | None = None, hits: DataFrame | None = None, verdicts: DataFrame | None = None, paths: DataFrame | None = None) -> Frag:
-        spark = nodes.sparkSession
-        none = lambda schema: spark.createDataFrame([], schema)
-        return cls(nodes, edges if edges is not None else none(EDGES), hits if hits is not None else none(HITS), verdicts if verdicts is not None else none(VERDICTS), paths if paths is not None else none(PATHS))
+        given = {"edges": (edges, EDGES), "hits": (hits, HITS), "verdicts": (verdicts, VERDICTS), "paths": (paths, PATHS)}
+        tables = {k: df if df is not None else nodes.sparkSession.createDataFrame([], schema) for k, (df, schema) in given.items()}
+        return cls(nodes, **tables, blank=frozenset(k for k, (df, _) in given.items() if df is None))
 
     def _trimmed(self, ids: DataFrame) -> Frag:
         """Everything restricted to ``ids(symbol_id)``: edges with both ends, paths with all nodes."""
         keep = ids.select("symbol_id").distinct()
-        ends = keep.withColumnRenamed("symbol_id", "__id")
-        edges = self.edges.join(ends, F.col("src") == F.col("__id"), "left_semi").join(ends, F.col("dst") == F.col("__id"), "left_semi")
-        steps = self.paths.withColumn("__p", F.xxhash64("nodes", "kinds")).select("*", F.explode("nodes").alias("symbol_id"))
-        lost = steps.join(keep, "symbol_id", "left_anti").select("__p").distinct()
-        paths = self.paths.withColumn("__p", F.xxhash64("nodes", "kinds")).join(lost, "__p", "left_anti").drop("__p")
-        return Frag(self.nodes.join(keep, "symbol_id", "left_semi"), edges, self.hits.join(keep, "symbol_id", "left_semi"), self.verdicts.join(keep, "symbol_id", "left_semi"), paths)
+        out = {"nodes": self.nodes.join(keep, "symbol_id", "left_semi")}
+        for name in {"hits", "verdicts"} - self.blank:
+            out[name] = getattr(self, name).join(keep, "symbol_id", "left_semi")
+        if "edges" not in self.blank:
+            ends = keep.withColumnRenamed("symbol_id", "__id")
+            out["edges"] = self.edges.join(ends, F.col("src") == F.col("__id"), "left_semi").join(ends, F.col("dst") == F.col("__id"), "left_semi")
+        if "paths" not in self.blank:
+            named = self.paths.withColumn("__p", F.xxhash64("nodes", "kinds"))
+            lost = named.select("__p", F.explode("nodes").alias("symbol_id")).join(keep, "symbol_id", "left_anti").select("__p").distinct()
+            out["paths"] = named.join(lost, "__p", "left_anti").drop("__p")
+        return replace(self, **out)
 
     def induced(self, ids: DataFrame | Sequence[int]) -> Frag:
         """The subgraph of these symbols; ids it does not have are ignored."""
@@ -58,8 +66,16 @@ class Frag:
 
     def __or__(self, other: Frag) -> Frag:
         """Union; where both have a node or edge the right one's record stays."""
-        side = lambda a, b, key: _first(a.withColumn("__s", F.lit(1)).unionByName(b.withColumn("__s", F.lit(0))), key, F.col("__s")).drop("__s")
-        return Frag(side(self.nodes, other.nodes, ["symbol_id"]), side(self.edges, other.edges, EDGE_KEY), self.hits.unionByName(other.hits).distinct(), self.verdicts.unionByName(other.verdicts).distinct(), self.paths.unionByName(other.paths).distinct())
+
+        def merged(name: str, key: list[str] | None = None) -> DataFrame:
+            a, b = getattr(self, name), getattr(other, name)
+            if name in self.blank or name in other.blank:
+                return b if name in self.blank else a
+            if key is None:
+                return a.unionByName(b).distinct()
+            return _first(a.withColumn("__s", F.lit(1)).unionByName(b.withColumn("__s", F.lit(0))), key, F.col("__s")).drop("__s")
+
+        return Frag(merged("nodes", ["symbol_id"]), merged("edges", EDGE_KEY), merged("hits"), merged("verdicts"), merged("paths"), self.blank & other.blank)
 
     def __and__(self, other: Frag) -> Frag:
         """Nodes of both, with the edges and evidence of either."""
@@ -79,8 +95,7 @@ class Frag:
         return self._trimmed(self.nodes.join(self.edges.select(F.col("src").alias("symbol_id")), "symbol_id", "left_anti"))
 
     def only_nodes(self) -> Frag:
-        empty = Frag.of(self.nodes)
-        return replace(empty, hits=self.hits, verdicts=self.verdicts)
+        return replace(Frag.of(self.nodes), hits=self.hits, verdicts=self.verdicts, blank=self.blank | {"edges", "paths"})
 
     def same(self, other: Frag) -> bool:
         """Equal nodes and edges; evidence does not count.  Runs jobs."""
@@ -112,7 +127,11 @@ class Frag:
         return self.nodes.select("symbol_id").join(total, "symbol_id", "left").select("symbol_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def eval_unit(unit: QueryUnit, ctx: Context) -> Frag:
-    """Nodes that a unit matches, with their evidence and no edges."""
+def eval_unit(unit: QueryUnit, ctx: Context, settle: bool = False) -> Frag:
+    """Nodes that a unit matches, with their evidence and no edges.
+
+    With ``settle`` the evidence is checkpointed, for what goes on to use it often.
+    """
     hits = evaluate([unit], ctx)
+    hits = cut(hits) if settle else hits
     return Frag.of(ctx.symbols.join(hits.select("symbol_id").distinct(), "symbol_id", "left_semi"), hits=hits)

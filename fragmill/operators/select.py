@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fragmill.model import Context
 from fragmill.operators.frag import Frag
+from fragmill.session import cut
 
 BOOST, KIND_PREFERENCE = 0.6, 0.3
 
@@ -59,7 +60,7 @@ def top_ids(scores: DataFrame, n: int) -> DataFrame:
 
 
 def top(frag: Frag, n: int, *, by: str | None = None) -> Frag:
-    return frag.induced(top_ids(frag.score(by), n).select("symbol_id"))
+    return frag.induced(cut(top_ids(frag.score(by), n).select("symbol_id")))
 
 
 def boosted_scores(frag: Frag, boosted: DataFrame | None = None, kinds: Sequence[str] = ()) -> DataFrame:

@@ -55,7 +55,7 @@ def namespace(ctx: Context, judged: bool = False) -> dict[str, object]:
         "annotation": Annotation,
         "modifier": Modifier,
         "unit": lambda name, *satisfiers, combine="noisy_or": QueryUnit(name, satisfiers, combine),
-        "eval_unit": lambda unit: eval_unit(unit, ctx),
+        "eval_unit": lambda unit: eval_unit(unit, ctx, settle=True),
         "reach": lambda src, **o: G.reach(src, ctx, **o),
         "hop": lambda src, dst, **o: G.hop(src, dst, ctx, **o),
         "degree": lambda frag, **o: S.degree(frag, ctx, **o),

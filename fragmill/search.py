@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from fragmill.functions.text import words_of
 from fragmill.model import Context
 from fragmill.operators import select as S
 from fragmill.operators.frag import Frag, eval_unit
@@ -18,10 +17,16 @@ from fragmill.plans.build import build_spec, known_terms
 from fragmill.plans.planner import JUDGE_CAP, plan
 from fragmill.plans.script import run_script
 
-# Words of questions that say nothing about code.
+# Words that carry no intent yet appear in code.
 STOP_WORDS = frozenset(
-    "a an and any are as at be by can could did do does for from had has have how i if in into is it its me my of on or our should so some that the their them then there these this to was were what when where which who why will with would you your".split()
-)
+    [
+        "a", "an", "the", "and", "or", "not", "of", "in", "on", "at", "to", "for", "from", "with", "by",
+        "is", "are", "was", "were", "be", "been", "that", "this", "these", "those", "it", "its", "as", "if", "then", "than",
+        "when", "where", "which", "who", "whom", "what", "how", "why", "do", "does", "did", "done",
+        "can", "could", "should", "would", "will", "shall", "may", "might", "must",
+    ]
+)
+QUERY_WORD = r"[A-Za-z][A-Za-z0-9]*"
 NO_WORD = "no word in the query appears in this corpus's vocabulary"
 
 
@@ -36,8 +41,8 @@ class SearchResult:
 
 def query_terms(query: str, ctx: Context) -> list[str]:
     """Words of the query outside the stop list that the vocabulary or the expansions know, in order."""
-    row = ctx.spark.range(1).select(words_of(F.lit(query)).alias("w")).first()
-    return known_terms([w for w in row.w if w not in STOP_WORDS], ctx)
+    words = [w.lower() for w in re.findall(QUERY_WORD, query)]
+    return known_terms([w for w in words if len(w) >= 2 and w not in STOP_WORDS], ctx)
 
 
 def lexical_unit(terms: Sequence[str], weight: float = 0.5) -> QueryUnit:

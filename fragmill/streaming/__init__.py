@@ -1 +1 @@
-
+"""Incremental maintenance of an index from a stream of symbols."""
