@@ -232,7 +232,7 @@ def w1_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_ids(working_set(documents(spark, sf_dir)).score(), 20).select("symbol_id", F.round("score", 6).alias("score"))
 
 
-@query("w1_top_by_unit", UNITS_SQL + "SELECT symbol_id, round(score, 6) AS score FROM scores WHERE unit = 'third' ORDER BY round(scores.score, 9) DESC, symbol_id LIMIT 20")
+@query("w1_top_by_unit", UNITS_SQL + "SELECT symbol_id, round(coalesce(s, 0), 6) AS score FROM (SELECT DISTINCT symbol_id FROM scores) LEFT JOIN (SELECT symbol_id, score AS s FROM scores WHERE unit = 'third') USING (symbol_id) ORDER BY round(coalesce(s, 0), 9) DESC, symbol_id LIMIT 20")
 def w1_top_by_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_ids(working_set(documents(spark, sf_dir)).score("third"), 20).select("symbol_id", F.round("score", 6).alias("score"))
 

@@ -1,7 +1,8 @@
 """Graph operators: reach, simple paths, edges from containers and calls, range matches, chains.
 
-Frontiers are tables; every level is one join with the edges.  Where levels
-are many their lineage is cut.
+Frontiers are tables; every level is one join with the edges.  A level's
+frontier is cut and counted: a small one is broadcast, so the edges stay where
+they are; a large one meets them in a shuffled join.
 """
 
 from __future__ import annotations
@@ -14,10 +15,8 @@ from pyspark.sql import functions as F
 from fragmill.model import Context
 from fragmill.operators.frag import Frag
 from fragmill.operators.select import degrees
-from fragmill.session import cut
+from fragmill.session import cut, maybe_broadcast
 
-#: Levels that run in one plan before lineage is cut.
-UNCUT_LEVELS = 3
 MAX_PATHS, MAX_DEGREE = 10_000, 64
 
 
@@ -34,7 +33,7 @@ def edge_kinds(edge: str | Sequence[str] | None) -> list[str] | None:
 
 
 def adjacency(edges: DataFrame, *, edge: str | Sequence[str] | None = None, direction: str = "forward", min_confidence: float = 0.0) -> DataFrame:
-    """Distinct steps (a, b, kind) in a direction, of these kinds and at least this confidence."""
+    """Steps (a, b, kind) in a direction, of these kinds and at least this confidence; parallel edges stay parallel."""
     if direction not in ("forward", "backward", "any"):
         raise ValueError(f"unknown direction {direction!r}")
     kinds = edge_kinds(edge)
@@ -42,22 +41,20 @@ def adjacency(edges: DataFrame, *, edge: str | Sequence[str] | None = None, dire
     rows = rows if kinds is None else rows.where(F.col("kind").isin(kinds))
     ahead = rows.select(F.col("src").alias("a"), F.col("dst").alias("b"), "kind")
     back = rows.select(F.col("dst").alias("a"), F.col("src").alias("b"), "kind")
-    return {"forward": ahead, "backward": back, "any": ahead.unionByName(back)}[direction].distinct()
+    return {"forward": ahead, "backward": back, "any": ahead.unionByName(back)}[direction]
 
 
 def distances(seeds: DataFrame, steps: DataFrame, high: int) -> DataFrame:
     """symbol_id and shortest distance (seeds 0) of all within ``high`` steps of any seed."""
-    seen = seeds.select("symbol_id").distinct().withColumn("dist", F.lit(0))
-    frontier = seen.select("symbol_id")
-    pairs = steps.select("a", "b").distinct()
+    frontier = cut(seeds.select("symbol_id").distinct())
+    seen = frontier.withColumn("dist", F.lit(0))
+    pairs = steps.select("a", "b")
     for level in range(1, high + 1):
-        fresh = frontier.join(pairs, frontier.symbol_id == pairs.a).select(F.col("b").alias("symbol_id")).distinct().join(seen, "symbol_id", "left_anti")
-        if level > UNCUT_LEVELS:
-            fresh = cut(fresh)
-            if fresh.isEmpty():
-                break
-        seen = seen.unionByName(fresh.withColumn("dist", F.lit(level)))
-        frontier = fresh
+        fresh = pairs.join(maybe_broadcast(frontier), F.col("a") == F.col("symbol_id")).select(F.col("b").alias("symbol_id")).distinct()
+        frontier = cut(fresh.join(seen, "symbol_id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier.withColumn("dist", F.lit(level)))
     return seen
 
 
@@ -86,20 +83,19 @@ def paths_between(src: DataFrame, dst: DataFrame, edges: DataFrame, *, edge: str
         src = src.join(gone, F.col("symbol_id") == F.col("__x"), "left_anti")
         dst = dst.join(gone, F.col("symbol_id") == F.col("__x"), "left_anti")
     back = distances(dst, steps.select(F.col("b").alias("a"), F.col("a").alias("b")), high).toDF("b", "left")
-    if high > UNCUT_LEVELS - 1:
-        back = cut(back)
     goal = dst.select("symbol_id").distinct()
     now = src.select("symbol_id").distinct().join(back, F.col("symbol_id") == F.col("b")).where(F.col("left") <= high).select(F.array("symbol_id").alias("nodes"), F.array().cast("array<string>").alias("kinds"), F.col("symbol_id").alias("tip"))
     hubs = None
     if max_degree is not None:
         hubs = degrees(edges, kinds).where(F.col("n_in") + F.col("n_out") > max_degree).select(F.col("symbol_id").alias("__h"))
     found = [now.join(goal, F.col("tip") == goal.symbol_id, "left_semi")] if low == 0 else []
-    useful = steps.join(back, "b")
+    # Steps that can still arrive: the only ones any level needs.
+    useful = cut(steps.join(maybe_broadcast(back), "b"))
     for level in range(1, high + 1):
         live = now if hubs is None or level == 1 else now.join(hubs, F.col("tip") == F.col("__h"), "left_anti")
         now = live.join(useful, live.tip == useful.a).where(F.col("left") <= high - level).where(~F.array_contains("nodes", F.col("b")))
         now = now.select(F.concat("nodes", F.array("b")).alias("nodes"), F.concat("kinds", F.array("kind")).alias("kinds"), F.col("b").alias("tip"))
-        if level > UNCUT_LEVELS:
+        if level > 1:
             now = cut(now)
         if level >= low:
             found.append(now.join(goal, F.col("tip") == goal.symbol_id, "left_semi"))
@@ -194,17 +190,16 @@ def implementations(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def directed_reach(starts: DataFrame, edges: DataFrame, *, backward: bool = False, max_depth: int | None = None, exact_depth: int | None = None) -> DataFrame:
     """symbol_id and depth (1 up) reachable over edges, where a resolved implementation stands for its abstract end."""
     ends = F.coalesce("impl", "dst") if "impl" in edges.columns else F.col("dst")
-    pairs = edges.select(*((ends.alias("a"), F.col("src").alias("b")) if backward else (F.col("src").alias("a"), ends.alias("b")))).distinct()
+    pairs = edges.select(*((ends.alias("a"), F.col("src").alias("b")) if backward else (F.col("src").alias("a"), ends.alias("b"))))
     high = exact_depth or max_depth
-    seen, frontier, level = None, starts.select("symbol_id").distinct(), 0
+    seen, frontier, level = None, cut(starts.select("symbol_id").distinct()), 0
     while high is None or level < high:
         level += 1
-        fresh = frontier.join(pairs, frontier.symbol_id == pairs.a).select(F.col("b").alias("symbol_id")).distinct()
+        fresh = pairs.join(maybe_broadcast(frontier), F.col("a") == F.col("symbol_id")).select(F.col("b").alias("symbol_id")).distinct()
         fresh = fresh if seen is None else fresh.join(seen, "symbol_id", "left_anti")
-        if high is None or level > UNCUT_LEVELS:
-            fresh = cut(fresh)
-            if fresh.isEmpty():
-                break
+        fresh = cut(fresh)
+        if level > 1 and fresh.isEmpty():
+            break
         rows = fresh.withColumn("depth", F.lit(level))
         seen = rows if seen is None else seen.unionByName(rows)
         frontier = fresh
@@ -213,15 +208,13 @@ def directed_reach(starts: DataFrame, edges: DataFrame, *, backward: bool = Fals
 
 def pairs_within(left: DataFrame, right: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """a, b and hops for every pair of the two groups within n undirected calls; all origins are kept."""
-    steps = adjacency(edges, direction="any").select("a", "b").distinct()
-    seen = left.select(F.col("symbol_id").alias("origin"), "symbol_id").distinct().withColumn("hops", F.lit(0))
+    steps = adjacency(edges, direction="any").select("a", "b")
+    seen = cut(left.select(F.col("symbol_id").alias("origin"), "symbol_id").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
     for level in range(1, n + 1):
-        fresh = frontier.join(steps, frontier.symbol_id == steps.a).select("origin", F.col("b").alias("symbol_id")).distinct().join(seen, ["origin", "symbol_id"], "left_anti").withColumn("hops", F.lit(level))
-        if level > UNCUT_LEVELS:
-            fresh = cut(fresh)
-        seen = seen.unionByName(fresh)
-        frontier = fresh
+        fresh = steps.join(maybe_broadcast(frontier.select("origin", "symbol_id")), F.col("a") == F.col("symbol_id")).select("origin", F.col("b").alias("symbol_id")).distinct()
+        frontier = cut(fresh.join(seen, ["origin", "symbol_id"], "left_anti").withColumn("hops", F.lit(level)))
+        seen = seen.unionByName(frontier)
     return seen.join(right.select("symbol_id").distinct(), "symbol_id", "left_semi").select(F.col("origin").alias("a"), F.col("symbol_id").alias("b"), "hops")
 
 
