@@ -28,8 +28,10 @@ from fragmill.llm import bytesops as B
 from fragmill.llm.decontam import IN_WORD
 
 BITS = 20
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 2.0, 0.5
-MAX_ROWS, EPOCHS = 16_000, 2
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 15.0, 0.5
+#: Toxic documents are the rarer class; each counts so many times.
+POSITIVE = 5.0
+MAX_ROWS, EPOCHS = 16_000, 4
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +71,7 @@ def learn(rows: list[tuple[float, np.ndarray]], bits: int, epochs: int) -> tuple
             zi, ni = z[at], n[at]
             root = np.sqrt(ni)
             w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + root) / ALPHA + L2))
-            g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
+            g = (1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y) * (POSITIVE if y > 0.5 else 1.0)
             sigma = (np.sqrt(ni + g * g) - root) / ALPHA
             z[at] = zi + g - sigma * w
             n[at] = ni + g * g
