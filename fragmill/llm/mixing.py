@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from fragmill.llm.runtime import WORD, cut, join_small, uniform
 
 #: Documents or blocks of one fold.
-FAN = 24
+FAN = 64
 
 
 def size_of(text: Column) -> Column:
