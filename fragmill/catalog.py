@@ -561,11 +561,15 @@ def p6_plan_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ranked(plan.run(ctx).current, 30)
 
 
-@query("p9_search_lexical", None)
+_RANK = "SELECT row_number() OVER (ORDER BY round(score, 9) DESC, symbol_id) AS rank, symbol_id, source AS kind, round(score, 4) AS score FROM {} JOIN documents ON doc_id = symbol_id ORDER BY round({}.score, 9) DESC, symbol_id LIMIT {}"
+_OR = "1 - product(1 - least(greatest(score, 0), 1))"
+
+
+@query("p9_search_lexical", UNITS_SQL.rstrip() + f",\nx AS (SELECT symbol_id, {_OR} AS score FROM hits WHERE unit = 'query' AND detail <> 'the' GROUP BY symbol_id)\n" + _RANK.format("x", "x", 20))
 def p9_search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = documents(spark, sf_dir)
-    frag = eval_unit(lexical_unit(query_terms("Where does THOR meet heit and the oner?", ctx)), ctx)
-    return S.ranked(frag, 20)
+    frag = eval_unit(lexical_unit(query_terms("Where is the THOR of heit, with oner and als?", ctx)), ctx)
+    return S.ranked(frag, 20).select("rank", "symbol_id", "kind", "score")
 
 
 _VOCAB = DOCS.rstrip() + ", v AS (SELECT term FROM terms WHERE regexp_full_match(term, '[a-z]+')), d AS (SELECT term FROM terms WHERE df >= 2 AND length(term) >= 3 AND icf_ratio >= 0.34 AND regexp_full_match(term, '[a-z]+'))\n"
@@ -818,7 +822,7 @@ def x18_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", T.fuzzy_match(F.col("p_name"), F.lit("Small Ring")).alias("score")).where("score > 0")
 
 
-@query("q6_intent_null")
+@query("q6_intent_null", _TOTAL + "SELECT symbol_id, 'fallback' AS source, 'unsure' AS label, 'not judged' AS reason, 0.0::DOUBLE AS score FROM (SELECT symbol_id FROM total ORDER BY round(total.score, 9) DESC, symbol_id LIMIT 60)")
 def q6_intent_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fragmill.operators.intent import intent
 
@@ -826,9 +830,13 @@ def q6_intent_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intent(S.top(working_set(ctx), 60), "weather", ctx).verdicts
 
 
-@query("p8_script")
+@query("p8_script", UNITS_SQL.rstrip() + f""",
+own AS (SELECT *, CASE WHEN detail = 'oner' OR detail LIKE '%←oner(%' THEN 'r' ELSE 'q' END AS u FROM hits WHERE unit = 'query' AND (detail IN ('thor', 'heit', 'oner') OR detail LIKE '%←oner(%' OR detail LIKE '%←heit(%')),
+per AS (SELECT symbol_id, u, {_OR} AS score FROM own GROUP BY symbol_id, u),
+x AS (SELECT symbol_id, sum(score) AS score FROM per WHERE symbol_id NOT IN (SELECT symbol_id FROM per JOIN documents ON doc_id = symbol_id WHERE u = 'r' AND source = 'src3') GROUP BY symbol_id)
+""" + _RANK.format("x", "x", 15))
 def p8_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fragmill.plans.script import run_script
 
     text = "a = eval_unit(unit('q', lexical(['thor', 'heit'])))\nb = eval_unit(unit('r', lexical(['oner'])))\nanswer = top((a | b) - only(b, kind='src3'), 15)\n"
-    return S.ranked(run_script(text, documents(spark, sf_dir).materialized()), 15)
+    return S.ranked(run_script(text, documents(spark, sf_dir).materialized()), 15).select("rank", "symbol_id", "kind", "score")
