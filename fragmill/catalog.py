@@ -761,8 +761,8 @@ def x23_chain_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.select("k", F.explode(T.window_corpus(F.col("c"))).alias("s")).groupBy("k", F.array_join("s", " ").alias("line")).agg(F.count("*").alias("n"))
 
 
-@query("x27_semql_terms", """SELECT event_id, list_sort(list_distinct([event_type, CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) >= 0 THEN CAST(json_extract(props, '$.k') AS VARCHAR) END])) AS terms FROM events""")
-def x27_semql_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("x27_condition_terms", """SELECT event_id, list_sort(list_distinct([event_type, CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) >= 0 THEN CAST(json_extract(props, '$.k') AS VARCHAR) END])) AS terms FROM events""")
+def x27_condition_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_sort(F.array_distinct(F.array("event_type", F.get_json_object("props", "$.k")))).alias("terms"))
 
 
