@@ -36,7 +36,9 @@ FAN = 64
 
 
 def size_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of words; each shrinks to one letter in one pass, so that no array of words is made."""
+    letters = F.translate(F.regexp_replace(text, WORD, "w"), " \t\n\x0b\x0c\r", "")
+    return F.coalesce(F.length(letters), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, cap: float = 3.0, period: int = 3) -> DataFrame:
