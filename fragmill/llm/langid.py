@@ -3,8 +3,8 @@
 One table of ``2**slots`` entries serves all languages: entry s holds a mask
 with bit l set if some n-gram of language l hashes there.  ANDing the entries
 of an n-gram's hashes returns, in one look-up, every language that may contain
-it.  A text's masks are counted per language; with n distinct n-grams of which
-c hit language l, whose filter answers falsely at rate f (its fill to the
+it.  A text's masks are counted per language; with n n-grams of which c hit
+language l, whose filter answers falsely at rate f (its fill to the
 power of the hashes), the corrected count is (c - n f) / (1 - f).  The largest
 corrected share decides.
 
@@ -23,6 +23,7 @@ if nothing can be learnt.  Rows that repeat a doc_id are judged one by one.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,33 +50,23 @@ def letters(text: str | None) -> str:
     return f" {line} " if any(c.isalpha() for c in line) else ""
 
 
-def grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of each line, and the line of each."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(B.U64)
-    sizes = np.array([len(x) for x in lines], np.int64)
-    row = np.repeat(np.arange(len(lines)), sizes)
-    space = codes == 0x20
-    keys, rows = [], []
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of each word with a space at both ends, and the word of each."""
+    padded = [f" {w} " for w in words]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(B.U64)
+    row = np.repeat(np.arange(len(words)), np.array([len(x) for x in padded], np.int64))
+    keys, rows = [np.zeros(0, B.U64)], [np.zeros(0, np.int64)]
     for n in LENGTHS:
         m = len(codes) - n + 1
         if m <= 0:
             continue
         h = np.zeros(m, B.U64)
-        ok = row[:m] == row[n - 1 :]
         for k in range(n):
             h = (h + codes[k : k + m]) * _SALT[k]
-            if 0 < k < n - 1:
-                ok &= ~space[k : k + m]
-        keys.append(B.mix64(h + B.U64(n))[ok])
+        ok = row[:m] == row[n - 1 :]
+        keys.append(B.mix64(h[ok] + B.U64(n)))
         rows.append(row[:m][ok])
-    if not keys:
-        return np.zeros(0, B.U64), np.zeros(0, np.int64)
-    key, at = np.concatenate(keys), np.concatenate(rows)
-    order = np.lexsort((key, at))
-    key, at = key[order], at[order]
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
-    return key[first], at[first]
+    return np.concatenate(keys), np.concatenate(rows)
 
 
 def slots(key: np.ndarray, bits: int = SLOTS) -> list[np.ndarray]:
@@ -84,14 +75,17 @@ def slots(key: np.ndarray, bits: int = SLOTS) -> list[np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, gram and the number of documents of this batch that hold it."""
+    """lang, gram and how often it occurs in this batch."""
     for batch in batches:
-        langs = np.array(batch.column("lang").to_pylist(), object)
-        lines = [letters(x) for x in batch.column("text").to_pylist()]
-        for lang in sorted(set(langs)):
-            own = [x for x, y in zip(lines, langs, strict=True) if y == lang]
-            for k in range(0, len(own), 500):
-                key, n = np.unique(grams(own[k : k + 500])[0], return_counts=True)
+        words: dict[str, Counter[str]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words.setdefault(lang, Counter()).update(letters(text).split())
+        for lang, counts in words.items():
+            found, times = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+            for k in range(0, len(found), 50_000):
+                own, row = grams(found[k : k + 50_000])
+                key, inverse = np.unique(own, return_inverse=True)
+                n = np.bincount(inverse, times[k : k + 50_000][row], len(key))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
@@ -120,16 +114,26 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarra
 
 
 def judge(lines: list[str], langs: list[str], table: np.ndarray, false: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the language of each line (-1: none) and the score."""
-    key, row = grams(lines)
+    """Number of the language of each line (-1: none) and the score.
+
+    n-grams lie inside words, so each distinct word is looked up once and counts as often as it occurs.
+    """
+    ids: dict[str, int] = {}
+    own, counts = [], np.zeros(len(lines), np.int64)
+    for k, line in enumerate(lines):
+        words = line.split()
+        counts[k] = len(words)
+        own += [ids.setdefault(w, len(ids)) for w in words]
+    at, row = np.array(own, np.int64), np.repeat(np.arange(len(lines)), counts)
+    key, word = grams(list(ids))
     masks = np.full((len(key), table.shape[1]), ~B.U64(0))
-    for at in slots(key):
-        masks &= table[at]
-    n = np.bincount(row, minlength=len(lines)).astype(float)
+    for place in slots(key):
+        masks &= table[place]
+    n = np.bincount(row, np.bincount(word, minlength=len(ids))[at], len(lines))
     shares = np.zeros((len(lines), len(langs)))
     for k in range(len(langs)):
         hit = (masks[:, k // MASK_BITS] >> B.U64(k % MASK_BITS)) & B.U64(1) == 1
-        c = np.bincount(row[hit], minlength=len(lines))
+        c = np.bincount(row, np.bincount(word[hit], minlength=len(ids))[at], len(lines))
         shares[:, k] = np.clip((c - n * false[k]) / (1 - false[k]) / np.maximum(n, 1), 0, 1)
     best = shares.argmax(axis=1)
     return np.where(n > 0, best, -1), np.where(n > 0, shares.max(axis=1), 0.0)
@@ -151,7 +155,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             at = 0
             while at < len(texts) and langs:
                 to, size = at, 0
-                while to < len(texts) and size < B.SLICE // 2:
+                while to < len(texts) and size < 4 * B.SLICE:
                     size += len(texts[to] or "")
                     to += 1
                 pred[at:to], score[at:to] = judge([letters(x) for x in texts[at:to]], langs, table, false)
