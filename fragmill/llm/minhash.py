@@ -38,9 +38,9 @@ from fragmill.llm.runtime import cut
 SIZE, ROWS = 64, 3
 BANDS = SIZE // ROWS
 #: Rounds of stars before the block comparison.
-ROUNDS = 3
-#: Members of one block of the final comparison.
-BLOCK = 256
+ROUNDS = 1
+#: Members of one block of the final comparison, and those that are compared with them at once.
+BLOCK, PROBES = 512, 512
 
 _rng = np.random.default_rng(20170417)
 _SEEDS = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -223,10 +223,10 @@ def block_checker(percent: int):
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cluster and block."""
+        """Rows come sorted by cluster, block and part: at most about BLOCK + PROBES of each."""
         key, rows = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "block")), strict=True))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "block", "part")), strict=True))
             rep, comp, probe = (batch.column(c).to_pylist() for c in ("rep", "comp", "probe"))
             bands, sets = batch.column("bands"), batch.column("elements")
             for k, now in enumerate(keys):
@@ -283,12 +283,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = meets.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     clusters = connected_components(nodes, meets).toDF("comp", "cluster")
     open_ = cut(comps.join(clusters, "comp"))
-    sizes = open_.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.max(F.struct("n", "comp")).alias("top"))
-    open_ = open_.join(sizes, "cluster")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("bigint")).cast("int")
-    members = open_.select("cluster", block.alias("block"), "rep", "comp", F.lit(False).alias("probe"))
-    probes = open_.where("comp <> top.comp").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "comp", F.lit(True).alias("probe"))
-    rows = members.unionByName(probes).join(sets, "rep").repartition("cluster", "block").sortWithinPartitions("cluster", "block")
+    sizes = open_.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+    open_ = open_.join(sizes, "cluster").withColumns({"blocks": F.ceil(F.col("n") / BLOCK), "parts": F.ceil((F.col("n") - F.col("top.n")) / PROBES)})
+    place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    members = open_.select("cluster", place("block", "blocks").alias("block"), every("parts").alias("part"), "rep", "comp", F.lit(False).alias("probe"))
+    probes = open_.where("comp <> top.comp").select("cluster", every("blocks").alias("block"), place("part", "parts").alias("part"), "rep", "comp", F.lit(True).alias("probe"))
+    rows = members.unionByName(probes).join(sets, "rep").repartition("cluster", "block", "part").sortWithinPartitions("cluster", "block", "part")
     last = cut(rows.mapInArrow(block_checker(percent), "a long, b long"))
     if not last.isEmpty():
         comps = connected_components(ids.withColumnRenamed("rep", "id"), links.unionByName(last)).toDF("rep", "comp")

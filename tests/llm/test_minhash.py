@@ -47,6 +47,7 @@ def group(rng, copies, words=120, edits=4, start=0):
 def test_links_match_brute_force(spark, monkeypatch, rounds, block):
     monkeypatch.setattr(minhash, "ROUNDS", rounds)
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "PROBES", block - 2)
     rng = random.Random(5)
     rows = group(rng, 60, edits=7) + group(rng, 30, words=40, edits=3, start=100) + group(rng, 20, words=9, edits=1, start=200)
     rows += [(300, None), (301, ""), (302, "One Two"), (303, "one  two"), (304, "one"), (305, " \t\n"), (306, rows[0][1].upper())]
