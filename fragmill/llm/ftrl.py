@@ -28,9 +28,11 @@ from fragmill.llm import bytesops as B
 from fragmill.llm.decontam import IN_WORD
 
 BITS = 20
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 15.0, 0.5
+ALPHA, BETA, L2 = 0.3, 1.0, 0.5
+#: The L1 term grows with the square root of the rows, as the noise of a coordinate that means nothing does.
+L1_ROOT = 0.12
 #: Toxic documents are the rarer class; each counts so many times.
-POSITIVE = 5.0
+POSITIVE = 3.0
 MAX_ROWS, EPOCHS = 16_000, 4
 
 
@@ -66,18 +68,19 @@ def learn(rows: list[tuple[float, np.ndarray]], bits: int, epochs: int) -> tuple
     """Weights by coordinate and bias after online passes over ``rows`` (label, distinct coordinates)."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias = grad = 0.0
+    l1 = L1_ROOT * len(rows) ** 0.5
     for _ in range(epochs):
         for y, at in rows:
             zi, ni = z[at], n[at]
             root = np.sqrt(ni)
-            w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + root) / ALPHA + L2))
+            w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + root) / ALPHA + L2))
             g = (1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y) * (POSITIVE if y > 0.5 else 1.0)
             sigma = (np.sqrt(ni + g * g) - root) / ALPHA
             z[at] = zi + g - sigma * w
             n[at] = ni + g * g
             grad += g * g
             bias -= 0.1 * g / (1 + grad**0.5)
-    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)), bias
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2)), bias
 
 
 def trainer(bits: int, epochs: int):
