@@ -18,6 +18,13 @@ elsewhere: a window that is no interval's start extends to the left until one.
 Repeats end at the end of their segment; the next segment's repeats continue
 them, and covered spans are merged per document.
 
+An anchor met so often that its segments could exceed ``BLOCK`` is hot.  Its
+segments are dealt over several tasks by their own hash and taken in blocks of
+``BLOCK`` bytes, by the hashes of their windows: what a block holds twice is
+covered, what it holds once is asked of the other blocks of the anchor, by one
+row for each window.  So neither a task nor a window's rows grow with the
+number of segments that an anchor has: a window has one row for each block.
+
 The texts are exchanged once, by row, and serve three readers in one plan.
 
 Null texts are empty; texts shorter than a window have no repeats.  Rows that
@@ -32,14 +39,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragmill.llm import bytesops as B
 
 #: Bytes of an anchor's k-gram.
 K = 32
-#: Bytes of segments in one suffix array, if groups allow.
+#: Bytes of segments in one suffix array or block of a hot anchor; one more anchor that is not hot may come on top.
 BLOCK = 2 << 20
 #: Longest piece of a document whose windows are dealt at once.
 PIECE = 1 << 22
@@ -108,7 +115,10 @@ def _prints(text: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def _cut_out(length: int, bodies: bool):
-    """Segments of each document: with ``bodies``, the first of equal ones of a task carries its bytes and the second none."""
+    """Segments of each document: with ``bodies``, the first of equal ones of a task carries its bytes and the second none.
+
+    The part is 0, or for a hot anchor from 1 by the segment's hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}
@@ -129,15 +139,17 @@ def _cut_out(length: int, bodies: bool):
                     out.append((h[a:b], fp, np.full(b - a, uids[k]), first[a:b]))
                     continue
                 raw = text.tobytes()
-                for x, f, s, e in zip(h[a:b].tolist(), fp.tolist(), first[a:b].tolist(), ends.tolist(), strict=True):
+                parts = flat.field("parts").to_numpy()[a:b].astype(np.int64)
+                part = np.where(parts > 0, fp % np.maximum(parts, 1) + 1, 0)
+                for x, f, s, e, p in zip(h[a:b].tolist(), fp.tolist(), first[a:b].tolist(), ends.tolist(), part.tolist(), strict=True):
                     n = seen[x, f] = seen.get((x, f), 0) + 1
                     if n <= 2:
-                        out.append((x, f, raw[s:e] if n == 1 else None, raw[s - 1] if s else -1))
+                        out.append((x, f, raw[s:e] if n == 1 else None, raw[s - 1] if s else -1, p))
                 if len(seen) > 1_000_000:
                     seen.clear()
             if bodies:
-                cols = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int16())], names=["h", "fp", "body", "left"])
+                cols = list(zip(*out, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int16()), pa.array(cols[4], pa.int32())], names=["h", "fp", "body", "left", "part"])
             elif out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["h", "fp", "uid", "first"])
 
@@ -241,8 +253,53 @@ def maximal_repeats(bodies: list[bytes], lefts: list[int], length: int) -> Itera
                 stack.append((lcp[k], start, common))
 
 
+_RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def _answers(h: object, fp: object, ranges: object, w: object, at: object) -> pa.RecordBatch:
+    cols = zip((h, fp, ranges, w, at), (pa.int64(), pa.int64(), _RANGES, pa.int64(), pa.int32()), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["h", "fp", "ranges", "w", "at"])
+
+
+def hot_block(h: int, fps: list[int], bodies: list[bytes], counts: list[int], length: int) -> Iterator[pa.RecordBatch]:
+    """What a block of a hot anchor knows of its distinct segments, and its windows for the other blocks.
+
+    A window that the block holds twice, or that lies in a segment met twice,
+    has a row without fp; one that it holds once has a row that asks for more.
+    """
+    sizes = np.array([len(b) for b in bodies], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    windows = np.maximum(sizes - length + 1, 0)
+    segment = np.repeat(np.arange(len(bodies)), windows)
+    at = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    place = starts[segment] + at
+    prefix = B.prefix_hash(np.frombuffer(b"".join(bodies), np.uint8))
+    w, back, n = np.unique(B.span_hash(prefix, place, place + length).view(np.int64), return_inverse=True, return_counts=True)
+    copied = np.array(counts) > 1
+    told = n > 1
+    told[back[copied[segment]]] = True
+    known = told[back] & ~copied[segment]
+    # Runs of known windows; copied segments are covered whole.
+    fresh, last = known.copy(), known.copy()
+    fresh[1:] &= ~known[:-1] | (segment[1:] != segment[:-1])
+    last[:-1] &= ~known[1:] | (segment[1:] != segment[:-1])
+    spans: dict[int, list[dict[str, int]]] = {int(k): [{"a": 0, "b": int(sizes[k])}] for k in np.flatnonzero(copied)}
+    for k, a, b in zip(segment[fresh].tolist(), at[fresh].tolist(), at[last].tolist(), strict=True):
+        spans.setdefault(k, []).append({"a": a, "b": b + length})
+    yield _answers([h] * len(spans), [fps[k] for k in spans], list(spans.values()), [fps[k] for k in spans], [None] * len(spans))
+    say = w[told]
+    ask = ~told[back]
+    for i in range(0, len(say), 1 << 16):
+        m = len(say[i : i + (1 << 16)])
+        yield _answers([h] * m, [None] * m, [None] * m, say[i : i + m], [None] * m)
+    fp, asked, offset = np.array(fps, np.int64)[segment[ask]], w[back[ask]], at[ask]
+    for i in range(0, len(fp), 1 << 16):
+        m = len(fp[i : i + (1 << 16)])
+        yield _answers(np.full(m, h), fp[i : i + m], [None] * m, asked[i : i + m], offset[i : i + m])
+
+
 def _covered(length: int):
-    """Rows sorted by h and fp to the ranges of each segment that maximal repeats cover."""
+    """Rows sorted by h, part and fp to the ranges of each segment that maximal repeats cover, or for hot anchors what ``hot_block`` gives."""
 
     def flush(group: list[tuple[int, int, bytes, int, int]]) -> pa.RecordBatch:
         spans: list[list[list[int]]] = [[[0, len(b)]] if n > 1 else [] for _, _, b, _, n in group]
@@ -255,26 +312,33 @@ def _covered(length: int):
                 for segment, offset in found:
                     spans[mixed[segment]].append([offset, offset + depth])
         rows = [(group[k][0], group[k][1], [{"a": a, "b": b} for a, b in merged(s)]) for k, s in enumerate(spans) if s]
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         cols = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind)], names=["h", "fp", "ranges"])
+        return _answers(*cols, cols[1], [None] * len(rows))
+
+    def settle(group: list[tuple[int, int, bytes, int, int]], hot: bool) -> Iterator[pa.RecordBatch]:
+        if hot:
+            _, fps, bodies, _, counts = zip(*group, strict=True)
+            yield from hot_block(group[0][0], list(fps), list(bodies), list(counts), length)
+        elif group:
+            yield flush(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int, bytes, int, int]] = []
-        size = 0
+        size, hot = 0, 0
         for batch in batches:
-            for h, fp, body, left in zip(*(batch.column(c).to_pylist() for c in ("h", "fp", "body", "left")), strict=True):
+            for h, fp, body, left, part in zip(*(batch.column(c).to_pylist() for c in ("h", "fp", "body", "left", "part")), strict=True):
                 if group and group[-1][:2] == (h, fp):
                     last = group[-1]
                     group[-1] = (h, fp, last[2] or body, last[3], last[4] + 1)
+                    size += len(body or b"") if last[2] is None else 0
                     continue
-                if size > BLOCK and group[-1][0] != h:
-                    yield flush(group)
-                    group, size = [], 0
+                other = bool(group) and group[-1][0] != h
+                if part != hot or (hot and other) or (size > BLOCK and (hot or other)):
+                    yield from settle(group, hot > 0)
+                    group, size, hot = [], 0, part
                 group.append((h, fp, body, left, 1))
                 size += len(body or b"")
-        if group:
-            yield flush(group)
+        yield from settle(group, hot > 0)
 
     return run
 
@@ -318,8 +382,11 @@ def _prepared(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("uid", F.xxhash64("doc_id", "text"))
     dealt = texts.select("uid", "text").mapInArrow(_dealt(length), "h long, uid long, first long, windows int")
-    again = dealt.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    runs = dealt.join(again, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "first", "windows")).alias("runs"))
+    # An anchor's segments have at most 2 * length - K bytes each; 0 parts mean that it is not hot.
+    most = max(1, BLOCK // (2 * length - K))
+    parts = F.when(F.col("n") > most, F.least(F.ceil(F.col("n") / most), F.lit(1 << 30))).otherwise(0).cast("int")
+    again = dealt.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", parts.alias("parts"))
+    runs = dealt.join(again, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "first", "windows", "parts")).alias("runs"))
     return texts, texts.join(runs, "uid").select("uid", "text", "doc_id", "runs")
 
 
@@ -329,8 +396,11 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     The spans are the merged occurrences of all maximal repeats of at least ``length`` bytes.
     """
     texts, held = _prepared(docs, length)
-    first_of_each = held.mapInArrow(_cut_out(length, True), "h long, fp long, body binary, left short")
-    covered = first_of_each.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(_covered(length), "h long, fp long, ranges array<struct<a:int,b:int>>")
+    first_of_each = held.mapInArrow(_cut_out(length, True), "h long, fp long, body binary, left short, part int")
+    answers = first_of_each.repartition("h", "part").sortWithinPartitions("h", "part", "fp").mapInArrow(_covered(length), "h long, fp long, ranges array<struct<a:int,b:int>>, w long, at int")
+    one = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b")))
+    met = answers.withColumn("n", F.count("*").over(Window.partitionBy("h", "w"))).where("fp IS NOT NULL AND (at IS NULL OR n > 1)")
+    covered = met.select("h", "fp", F.coalesce("ranges", one).alias("ranges"))
     members = held.mapInArrow(_cut_out(length, False), "h long, fp long, uid long, first long")
     shifted = F.transform("ranges", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"]).alias("b")))
     found = members.join(covered, ["h", "fp"]).groupBy("uid").agg(F.flatten(F.collect_list(shifted)).alias("found"))

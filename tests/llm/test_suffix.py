@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from fragmill.llm import suffix
 
@@ -69,3 +70,39 @@ def test_repeats_match_brute_force(spark, monkeypatch):
     got = suffix.op6(docs).collect()
     assert sorted(tuple(r) for r in got) == brute(rows, 200)
     assert suffix.op6(docs.limit(0)).count() == 0
+
+
+def test_hot_anchor_is_taken_in_blocks(monkeypatch):
+    """Distinct segments of one anchor never meet in one array beyond the bound."""
+    seen, blocks = [], []
+    inner = suffix.SuffixArray
+    monkeypatch.setattr(suffix, "BLOCK", 4000)
+    monkeypatch.setattr(suffix, "SuffixArray", lambda bodies, length: (seen.append(sum(map(len, bodies))), inner(bodies, length))[1])
+    if hasattr(suffix, "hot_block"):
+        whole = suffix.hot_block
+        monkeypatch.setattr(suffix, "hot_block", lambda h, fps, bodies, counts, length: (blocks.append(sum(map(len, bodies))), whole(h, fps, bodies, counts, length))[1])
+    rng = random.Random(2)
+    bodies = [bytes(rng.choice(b"abcd") for _ in range(300)) for _ in range(100)]
+    batch = pa.RecordBatch.from_pydict({"h": [7] * 100, "fp": list(range(100)), "body": bodies, "left": pa.array([-1] * 100, pa.int16()), "part": pa.array([1] * 100, pa.int32())})
+    list(suffix._covered(200)(iter([batch])))
+    assert sum(seen) + sum(blocks) == 30_000
+    assert max(seen + blocks) <= 4000 + 300
+
+
+def test_hot_anchors_match_brute_force(spark, monkeypatch):
+    """Repeats across the blocks and parts of hot anchors: a passage whose ends differ in most documents and agree in some."""
+    monkeypatch.setattr(suffix, "BLOCK", 3000)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(500)
+    starts, ends = [text(160) for _ in range(6)], [text(160) for _ in range(6)]
+    rows = []
+    for k in range(160):
+        # Neighbours agree over 0 to 160 bytes on either side of the passage.
+        a, b = rng.randrange(161), rng.randrange(161)
+        rows.append((k, text(200) + rng.choice(starts)[160 - a :] + passage + rng.choice(ends)[:b] + text(200)))
+    rows += [(500 + k, rows[0][1]) for k in range(40)] + [(600, text(900)), (601, None), (602, passage[:230] + text(100)), (0, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, held = suffix._prepared(docs, 200)
+    assert held.selectExpr("explode(runs) r").where("r.parts > 1").count() > 100
+    assert sorted(tuple(r) for r in suffix.op6(docs).collect()) == brute(rows, 200)
