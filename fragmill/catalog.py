@@ -2,7 +2,10 @@
 
 Scores are rounded to six places on both sides, as products of floats depend
 on their order.  Queries read whole tables; limits stand only where the
-operator is a top-k.
+operator is a top-k.  ``x12_meta_closure``, ``j8_range_match``,
+``j11_impl_resolution`` and ``j10_equivalents`` take a subset of ids, as their
+SQL twins do; the queries of these names with ``_all`` take every row, have no
+SQL and are held against brute force.
 """
 
 from __future__ import annotations
@@ -462,18 +465,36 @@ rg AS (SELECT event_id AS range_id, event_type AS file, CAST(user_id % 80 AS INT
 j AS (SELECT point, range_id, t - s AS w FROM pt JOIN rg USING (file) WHERE s <= line AND line <= t)
 SELECT point, min(range_id) AS range_id FROM (SELECT *, min(w) OVER (PARTITION BY point) AS m FROM j) WHERE w = m GROUP BY point HAVING count(*) = 1""")
 def j8_range_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _range_match(spark, sf_dir, "event_id % 41 = 0")
+
+
+@query("j8_range_match_all")
+def j8_range_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _range_match(spark, sf_dir, "true")
+
+
+def _range_match(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     points = e.select(F.col("event_id").alias("point"), F.col("event_type").alias("file"), F.floor("value").cast("int").alias("line"))
     start = (F.col("user_id") % 80).cast("int")
-    ranges = e.where("event_id % 41 = 0").select(F.col("event_id").alias("range_id"), F.col("event_type").alias("file"), start.alias("start"), (start + F.col("event_id") % 37).cast("int").alias("end"))
+    ranges = e.where(which).select(F.col("event_id").alias("range_id"), F.col("event_type").alias("file"), start.alias("start"), (start + F.col("event_id") % 37).cast("int").alias("end"))
     return G.tightest_enclosing(points, ranges)
 
 
 @query("j11_impl_resolution", """WITH p AS (SELECT DISTINCT o_custkey AS abstract, o_orderkey AS impl FROM orders WHERE o_orderkey % 10 = 0), k AS (SELECT abstract, count(*) AS n, min(impl) AS impl FROM p GROUP BY abstract)
 SELECT o_orderkey AS src, o_custkey AS dst, CASE WHEN n = 1 THEN impl END AS impl, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS how FROM orders LEFT JOIN k ON abstract = o_custkey""")
 def j11_impl_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _implementations(spark, sf_dir, "o_orderkey % 10 = 0")
+
+
+@query("j11_impl_resolution_all")
+def j11_impl_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _implementations(spark, sf_dir, "true")
+
+
+def _implementations(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return G.implementations(o.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")), o.where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("abstract"), F.col("o_orderkey").alias("impl")))
+    return G.implementations(o.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")), o.where(which).select(F.col("o_custkey").alias("abstract"), F.col("o_orderkey").alias("impl")))
 
 
 @query("j13_pairs_within_n", _EDGES + """, s AS (SELECT src AS a, dst AS b FROM e WHERE kind <> 'x' UNION SELECT dst, src FROM e), l AS (SELECT id FROM node WHERE kind = 'supplier' AND id % 9 = 0), r AS (SELECT id FROM node WHERE kind IN ('supplier', 'region', 'nation'))
@@ -628,7 +649,16 @@ def x11_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT general AS key, specific AS target, 1.0 AS score FROM d UNION ALL SELECT a.general, b.specific, 0.8 FROM d a JOIN d b ON a.specific = b.general UNION ALL SELECT a.general, c.specific, 0.64 FROM d a JOIN d b ON a.specific = b.general JOIN d c ON b.specific = c.general)
 SELECT key, target, round(max(score), 6)::DOUBLE AS score, 'meta' AS reason FROM w WHERE key <> target GROUP BY key, target""")
 def x12_meta_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 60 <> o_custkey % 12 AND o_orderkey < 60")
+    return _meta_closure(spark, sf_dir, "o_orderkey < 60")
+
+
+@query("x12_meta_closure_all")
+def x12_meta_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _meta_closure(spark, sf_dir, "true")
+
+
+def _meta_closure(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where(which).where("o_orderkey % 60 <> o_custkey % 12")
     return GR.meta_closure(o.select((F.col("o_orderkey") % 60).cast("string").alias("specific"), (F.col("o_custkey") % 12).cast("string").alias("general")))
 
 
@@ -800,7 +830,16 @@ def u10_relation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j10_equivalents", """WITH RECURSIVE p AS (SELECT DISTINCT least(s_nationkey, s_suppkey % 25) AS a, greatest(s_nationkey, s_suppkey % 25) AS b FROM supplier WHERE s_nationkey <> s_suppkey % 25 AND s_suppkey % 4 = 0), u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 r(id, pos) AS (SELECT DISTINCT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.pos) SELECT CAST(id AS BIGINT) AS id, CAST(min(pos) AS BIGINT) AS comp FROM r GROUP BY id""")
 def j10_equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0")
+    return _equivalents(spark, sf_dir, "s_suppkey % 4 = 0")
+
+
+@query("j10_equivalents_all")
+def j10_equivalents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _equivalents(spark, sf_dir, "true")
+
+
+def _equivalents(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").where(which)
     return G.equivalents(s.select(F.col("s_nationkey").cast("long").alias("abstract"), (F.col("s_suppkey") % 25).alias("impl")))
 
 

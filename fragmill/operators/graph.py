@@ -171,12 +171,15 @@ def call_edges(calls: DataFrame, members: DataFrame, supertypes: DataFrame, *, d
 def tightest_enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """``points(point, file, line)`` with the one narrowest range (range_id, file, start, end) around them.
 
-    Two ranges of one width around a point leave it without a match.
+    Two ranges of one width around a point leave it without a match.  Only
+    distinct lines meet distinct ranges, so the join does not grow with the
+    points or ranges that share them.
     """
-    rows = points.join(ranges, "file").where((F.col("start") <= F.col("line")) & (F.col("line") <= F.col("end")))
-    width = F.col("end") - F.col("start")
-    best = rows.groupBy("point").agg(F.min(F.struct(width.alias("w"))).alias("m"))
-    kept = rows.join(best, "point").where(width == F.col("m.w")).groupBy("point").agg(F.count("*").alias("n"), F.min("range_id").alias("range_id"))
+    least = lambda *by: lambda df: df.groupBy(*by, "w").agg(F.sum("n").alias("n"), F.min("range_id").alias("range_id")).groupBy(*by).agg(F.min(F.struct("w", "n", "range_id")).alias("m")).select(*by, "m.*")
+    shapes = ranges.groupBy("file", "start", "end").agg(F.count("*").alias("n"), F.min("range_id").alias("range_id"))
+    rows = points.select("file", "line").distinct().join(shapes, "file").where((F.col("start") <= F.col("line")) & (F.col("line") <= F.col("end")))
+    best = least("file", "line")(rows.withColumn("w", F.col("end") - F.col("start")))
+    kept = least("point")(points.join(best, ["file", "line"]))
     return kept.where("n = 1").select("point", "range_id")
 
 
