@@ -9,6 +9,7 @@ takes them; empty tables give empty results.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fragmill.llm import decontam, ftrl, hilbert, minhash, mixing
 from fragmill.llm.runtime import discard, table, written
@@ -21,10 +22,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of smallest id: five words, similarity 0.8 or more."""
-    groups = minhash.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies stays, the one of smallest id: five words, similarity 0.8 or more.
+
+    Rows that repeat a doc_id are judged one by one, each by its own text.
+    """
+    groups = minhash.judged(docs, 5, 80)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__key")).distinct()
+    own = (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
+    return docs.join(gone, own, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

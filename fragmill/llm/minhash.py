@@ -10,7 +10,7 @@ Thorup, 2017).  Bands of ``ROWS`` coordinates propose candidates: at a
 similarity of 0.8 a pair shares no band with probability 3e-7, at 0.85 2e-9.
 
 Links are decided on the full sets.  Documents with equal sets form one class
-and only its smallest id goes on.  Within a bucket no all-pairs list is made:
+with a key of its own, and only its smallest id's text goes on.  Within a bucket no all-pairs list is made:
 seeded stars merge most members first.  Components that still meet in some
 bucket form clusters; the members outside a cluster's largest component are
 then compared, in blocks, with every member of another component that shares a
@@ -18,7 +18,7 @@ band, so no link between components is lost, however large a bucket is.
 
 Null and empty texts have an empty set, are linked with nothing and stay; a null
 doc_id takes the component of its set.
-Rows that repeat a doc_id share one component, linked by the text of any of them.
+Rows that repeat a doc_id are judged one by one, each by its own text.
 An empty table gives an empty result.
 """
 
@@ -116,7 +116,7 @@ def band_hashes(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("text_key", pa.int64())])
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
@@ -140,7 +140,7 @@ def signer(width: int):
                 bands = band_hashes(sketches(elements, at))
                 bands = bands[n > 0].ravel()
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n), *map(pa.array, fp), _lists(bands, ends)], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n), *map(pa.array, fp), _lists(bands, ends), batch.column("text_key").slice(i, j - i)], schema=_SIGNED)
 
     return run
 
@@ -247,15 +247,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ``docs`` has doc_id and text; other columns are ignored.  Two documents are
     linked if 100 * intersection >= percent * union of their shingle sets.
     """
+    return judged(docs, width, percent).drop("text_key")
+
+
+def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with text_key, the xxhash64 of a row's text, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(texts.mapInArrow(signer(width), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<bigint>"))
-    alike = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "doc_id").alias("bands")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    signed = cut(texts.mapInArrow(signer(width), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<bigint>, text_key long"))
+    alike = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("least"), F.min_by("bands", "doc_id").alias("bands")).withColumn("rep", F.xxhash64("fp1", "fp2", "n_shingles")))
     buckets = alike.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     buckets = cut(buckets.join(shared.select("bucket"), "bucket"))
     ids = buckets.select("rep").distinct()
-    sets = cut(alike.join(ids, "rep").select("rep", "fp1", "fp2", "bands").join(texts.withColumnRenamed("doc_id", "rep"), "rep").mapInArrow(set_maker(width), "rep long, bands array<bigint>, elements array<bigint>"))
+    sets = cut(alike.join(ids, "rep").select("rep", "least", "fp1", "fp2", "bands").join(texts.select(F.col("doc_id").alias("least"), "text"), "least").mapInArrow(set_maker(width), "rep long, bands array<bigint>, elements array<bigint>"))
 
     def checked(pairs: DataFrame) -> DataFrame:
         small = sets.select("rep", "elements")
@@ -294,9 +299,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if not last.isEmpty():
         comps = connected_components(ids.withColumnRenamed("rep", "id"), links.unionByName(last)).toDF("rep", "comp")
 
-    classes = alike.join(comps, "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    lowest = comps.join(alike.select("rep", "least"), "rep").groupBy("comp").agg(F.min("least").alias("lowest"))
+    classes = alike.join(comps.join(lowest, "comp").select("rep", "lowest"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("lowest", "least").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "fp1", "fp2", "text_key").join(classes, ["fp1", "fp2", "n_shingles"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
 
 
 def op8(docs: DataFrame) -> DataFrame:

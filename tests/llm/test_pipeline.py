@@ -23,3 +23,13 @@ def test_stages_chain_and_keep_clean_documents(spark):
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_near_dedup_judges_rows_of_one_doc_id_by_their_texts(spark):
+    text = lambda w, n=60: " ".join(f"{w}{k}" for k in range(n))
+    near = text("c") + " c99"
+    rows = [(3, text("a")), (7, text("a")), (7, text("b")), (5, near), (9, text("c")), (9, text("d")), (10, text("d") + " more"), (10, text("e")), (11, None), (12, ""), (None, text("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, None).collect()]
+    gone = [(7, text("a")), (9, text("c")), (10, text("d") + " more")]
+    assert sorted(kept, key=str) == sorted((r for r in rows if r not in gone), key=str)
