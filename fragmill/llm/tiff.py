@@ -225,7 +225,7 @@ def pages(media: bytes) -> Iterator[Page]:
             return
         try:
             yield _page(media, number, fields)
-        except (ValueError, KeyError, struct.error, zlib.error) as e:
+        except (ValueError, KeyError, IndexError, ZeroDivisionError, struct.error, zlib.error) as e:
             yield Page(number, 0, 0, 0, "", 0, False, 0, b"", str(e))
 
 

@@ -44,3 +44,22 @@ def test_texts_through_pages(spark):
         assert (got[k].media_bytes, got[k].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert got[2][1:] == got[5][1:]
     assert tiff.op2(docs.limit(0)).count() == 0
+
+
+def test_zero_strips_and_early_lzw_codes_are_page_errors():
+    image = np.full((4, 4, 1), 7, np.uint8)
+    for scheme, tag in ((tiff.NONE, tiff.STRIP_ROWS), (tiff.NONE, tiff.TILE_WIDTH), (tiff.LZW, None)):
+        media = bytearray(tiff.written([image], scheme, tile=(16, 16) if tag == tiff.TILE_WIDTH else None))
+        fields, _ = tiff._fields(bytes(media), "<", int.from_bytes(media[4:8], "little"))
+        if tag is None:
+            # A clear code (256), then code 400, which no table holds yet: nine bits each.
+            at = fields[tiff.STRIP_AT][0]
+            media[at : at + 3] = (256 << 15 | 400 << 6).to_bytes(3, "big")
+        else:
+            at = int.from_bytes(media[4:8], "little")
+            for k in range(int.from_bytes(media[at : at + 2], "little")):
+                entry = at + 2 + 12 * k
+                if int.from_bytes(media[entry : entry + 2], "little") == tag:
+                    media[entry + 8 : entry + 12] = bytes(4)
+        (page,) = tiff.pages(bytes(media))
+        assert page.error
