@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragmill.llm.runtime import cut, join_small, partitions
+from fragmill.llm.runtime import cut, join_small, ranked
 
 BITS = 8
 
@@ -86,18 +86,6 @@ def value_steps(rows: DataFrame, column: str, bits: int) -> DataFrame:
     return counts.select(column, F.least(F.floor(middle / total * (1 << bits)), F.lit((1 << bits) - 1)).cast("int").alias(f"{column}_step"))
 
 
-def ranked(rows: DataFrame, order: list[str | Column]) -> DataFrame:
-    """``rows`` and their ranks from 0 in the order given, as a column rank; rows that tie in all of it in any order."""
-    spark = rows.sparkSession
-    place = F.monotonically_increasing_id()
-    placed = cut(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("__place", place))
-    part = F.shiftright("__place", 33)
-    # One row for each partition: bounded by their number.
-    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return placed.join(F.broadcast(before), part == F.col("part")).withColumn("rank", F.col("before") + F.col("__place").bitwiseAND((1 << 33) - 1)).drop("__place", "part", "before")
-
-
 def shard(docs: DataFrame, shards: int = 24, bits: int = BITS, size: Column | None = None) -> DataFrame:
     """doc_id, h, size, text_crc32, curve, shard and slot of every row of ``docs(doc_id, text, lang, source)``.
 

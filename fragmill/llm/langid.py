@@ -12,35 +12,41 @@ An n-gram belongs to a language if it holds at least ``share`` of that
 language's n-grams and at least ``dominance`` of the highest such share over
 all languages, so common n-grams of one language do not fill every filter.
 Shares come from a sample of at most about ``per_lang`` documents of each
-language, chosen by a hash of doc_id; languages are told by their own
-``MASK_BITS`` bits, in as many 64-bit words as they need.
-
-Texts are lower-cased, letters alone count, and words are padded with spaces.
-A text that is null or has no letter is ``und`` with score 0; so is every text
-if nothing can be learnt.  Rows that repeat a doc_id are judged one by one.
+language, chosen by a hash of doc_id and text; languages are told by their own
+``MASK_BITS`` bits, in as many 64-bit words as they need.  More than
+``MOST_LANGS`` values of lang are refused, as the table grows with them.
+
+Texts are lower-cased, letters and the marks that combine with them count, and
+words are padded with spaces.  A text that is null or has no letter is ``und``
+with score 0; so is every text if nothing can be learnt.  Languages of equal
+score go by name, the smallest first.  Rows that repeat a doc_id are judged
+one by one.  A null doc_id teaches nothing and counts as held out.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragmill.llm import bytesops as B
 from fragmill.llm.ftrl import learnable
+from fragmill.llm.runtime import cut, join_small, uniform
 
 #: Lengths of n-grams, in characters of padded words.
 LENGTHS = (2, 3, 4)
 SLOTS, HASHES, MASK_BITS = 20, 3, 64
 SHARE, DOMINANCE = 2e-5, 0.3
 PER_LANG = 2_000
+#: The table has a bit of ``2**SLOTS`` entries for each language: 128 MB at this many.
+MOST_LANGS = 1_024
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _SALT = np.random.default_rng(20101).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -89,24 +95,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the bit-sliced table, entries x words of mask."""
+def own_grams(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], DataFrame]:
+    """Languages in order, and lang and gram of the n-grams that belong to each."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable("doc_id", 3, 1)).select("doc_id", "text", "lang")
-    sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
-    if not sizes:
-        return [], np.zeros((1 << SLOTS, 1), B.U64)
-    langs = sorted(sizes)
-    bar = F.element_at(F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(1_000_000 * min(1, per_lang / sizes[lang]))))]), F.col("lang"))
-    sample = usable.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < bar)
-    counts = sample.select("text", "lang").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sizes = cut(usable.groupBy("lang").agg(F.count("*").alias("docs")))
+    langs = [r.lang for r in sizes.select("lang").orderBy("lang").limit(MOST_LANGS + 1).collect()]
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    chance = uniform(F.lit("langid"), "doc_id", "text")
+    sample = join_small(usable, sizes, "lang", spread=F.xxhash64("doc_id")).where(chance < per_lang / F.col("docs"))
+    counts = cut(sample.select("text", "lang").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(total), "lang").where(F.col("n") >= SHARE * F.col("total")).select("gram", "lang", (F.col("n") / F.col("total")).alias("share"))
     best = shares.groupBy("gram").agg(F.max("share").alias("best"))
-    # At most 1 / SHARE n-grams of a language pass, so this is bounded by the number of languages.
-    kept = shares.join(best, "gram").where(F.col("share") >= DOMINANCE * F.col("best")).select("lang", "gram").toPandas()
-    table = np.zeros((1 << SLOTS, -(-len(langs) // MASK_BITS)), B.U64)
+    return sorted(langs), shares.join(best, "gram").where(F.col("share") >= DOMINANCE * F.col("best")).select("lang", "gram")
+
+
+def fit(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:
+    """Languages in order and the bit-sliced table, entries x words of mask."""
+    langs, grams = own_grams(docs, per_lang)
+    table = np.zeros((1 << SLOTS, max(1, -(-len(langs) // MASK_BITS))), B.U64)
     number = {lang: k for k, lang in enumerate(langs)}
-    for lang, rows in kept.groupby("lang"):
+    # At most 1 / SHARE n-grams of a language pass, so this is bounded by the number of languages.
+    for lang, rows in grams.toPandas().groupby("lang"):
         k = number[lang]
         for at in slots(rows["gram"].to_numpy(np.int64).view(B.U64)):
             table[at, k // MASK_BITS] |= B.U64(1) << B.U64(k % MASK_BITS)

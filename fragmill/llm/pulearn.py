@@ -17,12 +17,14 @@ U over the share of P, among texts that look most like P, tends to the prior
 from above.
 
 Fitting reads bounded samples (``max_rows`` positives and as many unlabelled
-documents, by a hash of doc_id) and runs in one task in a fixed order; the
-features of a text, and its score, see all of it.
+documents, by a hash) and runs in one task in a fixed order; the features of a
+text, and its score, see all of it.
 
 Null and empty texts have features of zero and are scored by them.  Rows that
-repeat a doc_id are scored one by one.  Null labels are no positives.  With no
-positives or no unlabelled rows every score is 0.5.
+repeat a doc_id are scored one by one, and rows that also repeat its text teach
+once.  A document is a positive if any of its labels says so; null labels are
+none.  A null doc_id teaches nothing and counts as held out.  With no positives
+or no unlabelled rows every score is 0.5.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 
 from fragmill.llm import bytesops as B
 from fragmill.llm.ftrl import learnable
+from fragmill.llm.runtime import sampled
 
 MAX_ROWS = 6_000
 HIDDEN, STEPS, RATE, DECAY, BATCH = 24, 1500, 5e-3, 1e-4, 256
@@ -176,7 +179,11 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float | None = None) -> tuple
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of each sampled row; rows of one h are told once a task."""
+    seen: set[tuple[bool, int]] = set()
     for batch in batches:
+        keys = zip(batch.column("positive").to_pylist(), batch.column("h").to_pylist(), strict=True)
+        batch = batch.take(pa.array([k for k, key in enumerate(keys) if not (key in seen or seen.add(key))], pa.int64()))
         x = features(*B.text_bytes(batch.column("text")))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))
         yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("positive"), lists], names=["h", "positive", "x"])
@@ -184,11 +191,14 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _trainer(prior: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs, ps = [], []
+        xs, ps, last = [np.zeros((0, N_FEATURES))], [np.zeros(0, bool)], None
         for batch in batches:
-            xs.append(batch.column("x").flatten().to_numpy().reshape(-1, N_FEATURES).astype(float))
-            ps.append(batch.column("positive").to_numpy(zero_copy_only=False))
-        x, p = (np.concatenate(xs), np.concatenate(ps).astype(bool)) if xs else (np.zeros((0, N_FEATURES)), np.zeros(0, bool))
+            key = list(zip(batch.column("positive").to_pylist(), batch.column("h").to_pylist(), strict=True))
+            own = np.array([a != b for a, b in zip(key, [last, *key], strict=False)], bool)
+            xs.append(batch.column("x").flatten().to_numpy().reshape(-1, N_FEATURES).astype(float)[own])
+            ps.append(batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)[own])
+            last = key[-1] if key else last
+        x, p = np.concatenate(xs), np.concatenate(ps)
         if p.any() and (~p).any():
             net, share = train(x[p], x[~p], prior)
             flat = [net.mean, net.scale, *net.params, np.array([share])]
@@ -199,16 +209,13 @@ def _trainer(prior: float | None):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, prior: float | None = None) -> tuple[Net | None, float]:
     """The network and the prior, from bounded samples; both sets leave out the held-out fold of doc_id."""
-    million, h = F.lit(1_000_000), F.xxhash64(F.lit("pu"), "doc_id")
-    usable = docs.where(F.col("doc_id").isNotNull() & learnable("doc_id", 5, 0)).select("doc_id", "text")
+    usable = docs.where(learnable("doc_id", 5, 0)).select("doc_id", "text")
     good = labels.where((F.col(label) == 1) & learnable("doc_id", 5, 0)).select("doc_id").distinct()
-    share = min(1.0, max_rows / max(1, good.count()))
     # At most about max_rows ids, so they may be broadcast.
-    ids = good.where(F.pmod(h, million) < int(share * 1_000_000)) if share < 1 else good
-    pos = usable.join(F.broadcast(ids), "doc_id").select(h.alias("h"), "text", F.lit(True).alias("positive"))
-    u = F.xxhash64(F.lit("pu-all"), "doc_id")
-    share = min(1.0, max_rows / max(1, usable.count()))
-    unl = usable.where(F.pmod(u, million) < int(share * 1_000_000)).select(u.alias("h"), "text", F.lit(False).alias("positive"))
+    ids = good.where(sampled(F.xxhash64(F.lit("pu"), "doc_id"), max_rows / max(1, good.count())))
+    pos = usable.join(F.broadcast(ids), "doc_id").select(F.xxhash64(F.lit("row"), "doc_id", "text").alias("h"), "text", F.lit(True).alias("positive"))
+    u = F.xxhash64(F.lit("pu-all"), "doc_id", "text")
+    unl = usable.where(sampled(u, max_rows / max(1, usable.count()))).select(u.alias("h"), "text", F.lit(False).alias("positive"))
     rows = pos.unionByName(unl).mapInArrow(_featurise, "h long, positive boolean, x array<float>")
     found = rows.repartition(1).sortWithinPartitions("positive", "h").mapInArrow(_trainer(prior), "v array<double>, k int").orderBy("k").collect()
     if not found:

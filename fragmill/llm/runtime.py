@@ -2,16 +2,19 @@
 
 Lineage is cut with reliable checkpoints in the folder that the session names
 in ``spark.checkpoint.dir``; a folder of our own is used only where that is
-unset (tests on one machine).
+unset on one machine (tests), and on a cluster it is an error.  Spark deletes
+checkpoints that nothing refers to any more if the session is started with
+``spark.cleaner.referenceTracking.cleanCheckpoints``.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that end a word under the whitespace rule, as a Java regex class.
@@ -22,9 +25,13 @@ BROADCAST_ROWS = 20_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset and all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fragmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fragmill-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -54,7 +61,11 @@ _BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "6710
 
 
 def share_package(spark: SparkSession) -> None:
-    """Python workers find this package where the driver found it, and get batches of bounded size."""
+    """Python workers find this package where the driver found it, and get batches of bounded size.
+
+    Where the session has Spark's default for the bytes of an Arrow batch, this
+    sets it to ``BATCH_BYTES``, for the session; a value of the user's stays.
+    """
     if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
         spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -77,6 +88,11 @@ def uniform(*cols: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") * F.lit(2.0**-53)
 
 
+def sampled(h: Column, share: float) -> Column:
+    """Whether a 64-bit hash lies in the first ``share`` of its range; 63 bits fine, so no share of a large table rounds to none."""
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(h, 1) < F.lit(int(max(share, 0.0) * 2.0**63))
+
+
 def join_small(left: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 32, spread: Column | None = None) -> DataFrame:
     """``left`` joined to a table with one row for each key, without piling a hot key on one task.
 
@@ -93,3 +109,15 @@ def join_small(left: DataFrame, small: DataFrame, key: str, how: str = "inner",
         other = other.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
         out = salted.join(other, salted[key].eqNullSafe(other["__key"]) & (salted["__salt"] == other["__salt2"]), how).drop("__salt", "__salt2")
     return out.drop("__key")
+
+
+def ranked(rows: DataFrame, order: list[str | Column]) -> DataFrame:
+    """``rows`` and their ranks from 0 in the order given, as a column rank; rows that tie in all of it in any order."""
+    spark = rows.sparkSession
+    place = F.monotonically_increasing_id()
+    placed = cut(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("__place", place))
+    part = F.shiftright("__place", 33)
+    # One row for each partition: bounded by their number.
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(before), part == F.col("part")).withColumn("rank", F.col("before") + F.col("__place").bitwiseAND((1 << 33) - 1)).drop("__place", "part", "before")
