@@ -2,9 +2,10 @@
 
 Words are runs of ASCII digits and letters (lower-cased) and of all bytes from
 0x80 on.  An item's windows are its runs of ``window`` words (an item of
-fewer words is one window).  The automaton holds every window with a space at
-each end; a document's normalised text is scanned once, and each match maps
-back over the word's number to byte offsets of the original text.
+fewer words is one window).  The automaton reads words: each word of the items
+is one letter of its alphabet, every other word is a letter that no window has.
+A document is scanned once, and each match maps back over the word's number to
+byte offsets of the original text.
 
 The automaton's source is bounded: items are dealt into slices of about
 ``SLICE_BYTES`` of text, normally one.  Each slice is broadcast alone and adds
@@ -24,12 +25,12 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmill.llm import bytesops as B
 
-#: Most text of the items of one automaton; its windows hold up to ``window`` times as much.
+#: Most text of the items of one automaton, which has up to ``window`` nodes for each word of them.
 SLICE_BYTES = 4 << 20
 
 #: Inside a word: digits, letters and all bytes from 0x80 on.
@@ -45,25 +46,29 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.translate(_TABLE).split())
 
 
-def windows(text: bytes, window: int) -> list[bytes]:
-    words = normal(text).split()
-    if not words:
-        return []
-    return [b" ".join(words[k : k + window]) for k in range(max(1, len(words) - window + 1))]
+def symbol(k: int) -> str:
+    """One character for the k-th word of a slice's vocabulary, from 1 on; surrogates are left out."""
+    return chr(k if k < 0xD800 else k + 0x800)
 
 
 def build(items: list[tuple[str, str]], window: int):
-    """The automaton, and per window its length in words and the numbers of the items that have it."""
-    held: dict[bytes, set[str]] = {}
+    """The automaton, the symbol of each word, and per window its length in words and the items that have it.
+
+    Its letters are words: one character for each, so that a window of 13 words
+    is 13 steps and the place of a match is the number of a word.
+    """
+    symbols: dict[bytes, str] = {}
+    held: dict[str, set[str]] = {}
     for item, text in items:
-        for w in windows(text.encode(), window):
-            held.setdefault(w, set()).add(item)
+        line = "".join([symbols.get(x) or symbols.setdefault(x, symbol(len(symbols) + 1)) for x in normal(text.encode()).split()])
+        for k in range(max(1, len(line) - window + 1) if line else 0):
+            held.setdefault(line[k : k + window], set()).add(item)
     machine = ahocorasick.Automaton()
-    for k, w in enumerate(held):
-        machine.add_word(f" {w.decode('latin-1')} ", k)
+    for k, line in enumerate(held):
+        machine.add_word(line, k)
     if held:
         machine.make_automaton()
-    return machine if held else None, [w.count(b" ") + 1 for w in held], [len(w) + 2 for w in held], list(held.values())
+    return machine if held else None, symbols, list(map(len, held)), list(held.values())
 
 
 def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +76,7 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def scanner(items, window: int):
+def scanner(items, window: int, prefix: str):
     """Adds the matches of a broadcast slice of items to the columns n_words, runs and found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,24 +84,22 @@ def scanner(items, window: int):
         if key not in _built:
             _built.clear()
             _built[key] = build(items.value, window)
-        machine, words, chars, names = _built[key]
+        machine, symbols, lengths, names = _built[key]
         for batch in batches:
             data, offsets = B.text_bytes(batch.column("text"))
             raw = data.tobytes()
-            counts, runs, found = [], batch.column("runs").to_pylist(), batch.column("found").to_pylist()
+            counts, runs, found = [], batch.column(f"{prefix}runs").to_pylist(), batch.column(f"{prefix}found").to_pylist()
             for k in range(len(runs)):
-                line = normal(raw[offsets[k] : offsets[k + 1]])
-                counts.append(line.count(b" ") + 1 if line else 0)
-                hits = list(machine.iter(f" {line.decode('latin-1')} ")) if machine and line else ()
+                words = normal(raw[offsets[k] : offsets[k + 1]]).split()
+                counts.append(len(words))
+                hits = list(machine.iter("".join([symbols.get(w, "\0") for w in words]))) if machine and words else ()
                 if not hits:
                     continue
-                spaces = np.flatnonzero(np.frombuffer(b" " + line, np.uint8) == 0x20)
-                steps = np.zeros(counts[-1] + 1, np.int64)
+                steps = np.zeros(len(words) + 1, np.int64)
                 ids = {w for _, w in hits}
                 for end, w in hits:
-                    at = np.searchsorted(spaces, end - chars[w] + 1)
-                    steps[at] += 1
-                    steps[at + words[w]] -= 1
+                    steps[end - lengths[w] + 1] += 1
+                    steps[end + 1] -= 1
                 for x in runs[k]:
                     steps[x["first"]] += 1
                     steps[x["past"]] -= 1
@@ -105,32 +108,53 @@ def scanner(items, window: int):
                 runs[k] = [{"first": a, "past": b, "start": int(at[a]), "end": int(to[b - 1])} for a, b in zip(first.tolist(), past.tolist(), strict=True)]
                 found[k] = sorted({*found[k], *(x for w in ids for x in names[w])})
             out = dict(zip(batch.schema.names, batch.columns, strict=True))
-            out |= {"n_words": pa.array(counts, pa.int64()), "runs": pa.array(runs, batch.schema.field("runs").type), "found": pa.array(found, batch.schema.field("found").type)}
+            told = {"n_words": pa.array(counts, pa.int64()), "runs": pa.array(runs, batch.schema.field(f"{prefix}runs").type), "found": pa.array(found, batch.schema.field(f"{prefix}found").type)}
+            out |= {f"{prefix}{c}": x for c, x in told.items()}
             yield pa.RecordBatch.from_arrays([out[c] for c in batch.schema.names], names=batch.schema.names)
 
     return run
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, window: int = 13, prefix: str = "") -> DataFrame:
     """``docs`` with n_words, runs (hit runs by word number and byte offset) and found (item ids as strings).
 
-    ``docs`` needs a text column, ``items`` item_id and text.  Columns of
-    these three names in ``docs`` are replaced; all others stay.
+    ``docs`` needs a text column, ``items`` item_id and text.  The three names
+    carry ``prefix``; columns of these names in ``docs`` are replaced, all
+    others stay.
     """
     spark: SparkSession = docs.sparkSession
     own = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     slices = max(1, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES))
-    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "runs": F.array().cast("array<struct<first:int,past:int,start:int,end:int>>"), "found": F.array().cast("array<string>")})
+    added = {"n_words": F.lit(None).cast("long"), "runs": F.array().cast("array<struct<first:int,past:int,start:int,end:int>>"), "found": F.array().cast("array<string>")}
+    out = docs.withColumns({f"{prefix}{c}": x for c, x in added.items()})
     for k in range(slices):
         rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
-        out = out.mapInArrow(scanner(spark.sparkContext.broadcast([tuple(r) for r in rows]), window), out.schema)
+        out = out.mapInArrow(scanner(spark.sparkContext.broadcast([tuple(r) for r in rows]), window, prefix), out.schema)
     return out
 
 
+def words_hit(runs: Column | str) -> Column:
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda total, x: total + x["past"] - x["first"])
+
+
 def measured(scanned: DataFrame) -> DataFrame:
-    """Adds n_hit (words inside hit runs) and contaminated (a twentieth of the words or more)."""
-    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda total, x: total + x["past"] - x["first"])
-    return scanned.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    """Adds n_hit (words inside hit runs) and contaminated (a twentieth of the words or more) to what ``scan`` gives without a prefix."""
+    return scanned.withColumn("n_hit", words_hit("runs")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 13, least: int = 5) -> DataFrame:
+    """``docs`` without those that hold a passage of the benchmark, whatever their length; their columns stay as they are.
+
+    A run of ``least`` hit words or more is a passage.  A shorter run, which
+    only an item of fewer words can leave, counts where hits make up a
+    twentieth of the document or more, so a common phrase that some item
+    consists of does not empty the corpus.
+    """
+    own = "__scan_"
+    scanned = scan(docs, items, window, own)
+    hit = words_hit(f"{own}runs")
+    leak = F.exists(f"{own}runs", lambda r: r["past"] - r["first"] >= least) | ((hit > 0) & (20 * hit >= F.col(f"{own}n_words")))
+    return scanned.where(~leak).select(docs.columns)
 
 
 def op9(docs: DataFrame, items: DataFrame) -> DataFrame:

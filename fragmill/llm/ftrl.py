@@ -151,8 +151,8 @@ def score_texts(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, table:
     return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS) -> DataFrame:
-    """``docs`` (with a text column) and a column score; a column of that name is replaced, all others stay."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS, into: str = "score") -> DataFrame:
+    """``docs`` (with a text column) and a column ``into``, the score; a column of that name is replaced, all others stay."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +162,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
         known = table != 0
         for batch in batches:
             scores = pa.array(score_texts(*B.text_bytes(batch.column("text")), known, table, bias, bits))
-            yield pa.RecordBatch.from_arrays([scores if c == "score" else x for c, x in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([scores if c == into else x for c, x in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
-    out = docs.withColumn("score", F.lit(None).cast("double"))
+    out = docs.withColumn(into, F.lit(None).cast("double"))
     return out.mapInArrow(run, out.schema)
 
 
