@@ -1,9 +1,9 @@
 """A training-data pipeline over documents: five stages, each on all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last keep the columns of documents.  Rows that a stage drops are gone for the
-next.  Repeated rows, nulls and empty texts pass unless a stage's own rule
-takes them; empty tables give empty results.
+last keep the columns of documents, whatever further columns these have.  Rows
+that a stage drops are gone for the next.  Repeated rows, nulls and empty texts
+pass unless a stage's own rule takes them; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from fragmill.llm.runtime import discard, table, written
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of 0.5 or more go; the model is fitted on labelled documents outside the held-out fold."""
     model = ftrl.fit(docs, table(spark, sf_dir, "labels"))
-    return ftrl.score(docs, model).where("score < 0.5").select(docs.columns)
+    return ftrl.score(docs, model, into="__toxicity").where("__toxicity < 0.5").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth of their words or more inside passages of the benchmark go."""
-    return decontam.measured(decontam.scan(docs, table(spark, sf_dir, "benchmark"))).where("NOT contaminated").select(docs.columns)
+    """Documents that hold a passage of the benchmark go, however long they are."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("sharding", sharding)]
 
-#: The stages are fitted models, sketches and random draws: no SQL; tests hold each against brute force.
+#: The stages are fitted models, sketches and random draws: no SQL; tests hold the rows that each keeps against brute force.
 ORACLE_SQL = None
 
 
