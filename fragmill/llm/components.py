@@ -38,7 +38,8 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours move to the smallest id of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    # Cut, so that Spark can split a hub's edges over tasks where they meet it.
+    low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
     joined = both.join(low, "a")
     if large:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))

@@ -2,10 +2,10 @@
 
 Words are runs of ASCII digits and letters (lower-cased) and of all bytes from
 0x80 on.  An item's windows are its runs of ``window`` words (an item of
-fewer words is one window).  The automaton reads words: each word of the items
-is one letter of its alphabet, every other word is a letter that no window has.
-A document is scanned once, and each match maps back over the word's number to
-byte offsets of the original text.
+fewer words is one window).  The automaton holds blocks of the items' words, at
+least one of which lies in every window; a document is scanned once, each match
+is extended to the words on either side, and what is as long as a window maps
+back over the words' numbers to byte offsets of the original text.
 
 The automaton's source is bounded: items are dealt into slices of about
 ``SLICE_BYTES`` of text, normally one.  Each slice is broadcast alone and adds
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from fragmill.llm import bytesops as B
 
-#: Most text of the items of one automaton, which has up to ``window`` nodes for each word of them.
-SLICE_BYTES = 4 << 20
+#: Most text of the items of one automaton: about 40 bytes of memory for each.
+SLICE_BYTES = 8 << 20
 
 #: Inside a word: digits, letters and all bytes from 0x80 on.
 IN_WORD = np.zeros(256, bool)
@@ -46,29 +46,60 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.translate(_TABLE).split())
 
 
-def symbol(k: int) -> str:
-    """One character for the k-th word of a slice's vocabulary, from 1 on; surrogates are left out."""
-    return chr(k if k < 0xD800 else k + 0x800)
-
-
 def build(items: list[tuple[str, str]], window: int):
-    """The automaton, the symbol of each word, and per window its length in words and the items that have it.
+    """The automaton, per pattern its places (item, first word), and per item its id and words.
 
-    Its letters are words: one character for each, so that a window of 13 words
-    is 13 steps and the place of a match is the number of a word.
+    A run of ``window`` words of an item holds a whole block of its words, if
+    blocks of (window + 1) / 2 words are cut from its start on; so the blocks
+    are the patterns, about one node for each letter of the items, and the scan
+    extends each match to both sides.  An item of fewer words is one pattern.
     """
-    symbols: dict[bytes, str] = {}
-    held: dict[str, set[str]] = {}
+    block = (window + 1) // 2
+    places: dict[bytes, list[tuple[int, int]]] = {}
+    known: list[tuple[str, list[bytes]]] = []
     for item, text in items:
-        line = "".join([symbols.get(x) or symbols.setdefault(x, symbol(len(symbols) + 1)) for x in normal(text.encode()).split()])
-        for k in range(max(1, len(line) - window + 1) if line else 0):
-            held.setdefault(line[k : k + window], set()).add(item)
+        words = normal(text.encode()).split()
+        starts, size = (range(0, len(words) - block + 1, block), block) if len(words) >= window else (range(1 if words else 0), len(words))
+        for k in starts:
+            places.setdefault(b" ".join(words[k : k + size]), []).append((len(known), k))
+        known.append((item, words))
     machine = ahocorasick.Automaton()
-    for k, line in enumerate(held):
-        machine.add_word(line, k)
-    if held:
+    for k, line in enumerate(places):
+        machine.add_word(f" {line.decode('latin-1')} ", k)
+    if places:
         machine.make_automaton()
-    return machine if held else None, symbols, list(map(len, held)), list(held.values())
+    return machine if places else None, [len(x) + 2 for x in places], list(places.values()), known
+
+
+def matches(line: bytes, built: tuple, window: int) -> tuple[list[tuple[int, int]], set[str]]:
+    """Runs (first word, word after the last) of a normalised document that some item has too, and the ids of these items.
+
+    Each item is followed along a diagonal (place in the document less place in
+    the item) once, however many of its blocks match there.
+    """
+    machine, chars, places, known = built
+    hits = list(machine.iter(f" {line.decode('latin-1')} ")) if machine and line else ()
+    if not hits:
+        return [], set()
+    words = line.split(b" ")
+    spaces = np.flatnonzero(np.frombuffer(b" " + line, np.uint8) == 0x20)
+    past: dict[tuple[int, int], int] = {}
+    runs, found = set(), set()
+    for (end, k), at in zip(hits, np.searchsorted(spaces, [end - chars[k] + 1 for end, k in hits]).tolist(), strict=True):
+        for item, first in places[k]:
+            name, own = known[item]
+            if at < past.get((item, at - first), 0):
+                continue
+            a, b, p, q = at, at, first, first
+            while a and p and words[a - 1] == own[p - 1]:
+                a, p = a - 1, p - 1
+            while b < len(words) and q < len(own) and words[b] == own[q]:
+                b, q = b + 1, q + 1
+            past[item, at - first] = b
+            if b - a >= min(window, len(own)):
+                runs.add((a, b))
+                found.add(name)
+    return sorted(runs), found
 
 
 def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,29 +115,24 @@ def scanner(items, window: int, prefix: str):
         if key not in _built:
             _built.clear()
             _built[key] = build(items.value, window)
-        machine, symbols, lengths, names = _built[key]
         for batch in batches:
             data, offsets = B.text_bytes(batch.column("text"))
             raw = data.tobytes()
             counts, runs, found = [], batch.column(f"{prefix}runs").to_pylist(), batch.column(f"{prefix}found").to_pylist()
             for k in range(len(runs)):
-                words = normal(raw[offsets[k] : offsets[k + 1]]).split()
-                counts.append(len(words))
-                hits = list(machine.iter("".join([symbols.get(w, "\0") for w in words]))) if machine and words else ()
-                if not hits:
+                line = normal(raw[offsets[k] : offsets[k + 1]])
+                counts.append(line.count(b" ") + 1 if line else 0)
+                spans, names = matches(line, _built[key], window)
+                if not spans:
                     continue
-                steps = np.zeros(len(words) + 1, np.int64)
-                ids = {w for _, w in hits}
-                for end, w in hits:
-                    steps[end - lengths[w] + 1] += 1
-                    steps[end + 1] -= 1
-                for x in runs[k]:
-                    steps[x["first"]] += 1
-                    steps[x["past"]] -= 1
+                steps = np.zeros(counts[-1] + 1, np.int64)
+                for first, past in [*spans, *((x["first"], x["past"]) for x in runs[k])]:
+                    steps[first] += 1
+                    steps[past] -= 1
                 first, past = _runs(np.cumsum(steps)[:-1] > 0)
                 at, to, _ = B.word_spans(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]), IN_WORD)
                 runs[k] = [{"first": a, "past": b, "start": int(at[a]), "end": int(to[b - 1])} for a, b in zip(first.tolist(), past.tolist(), strict=True)]
-                found[k] = sorted({*found[k], *(x for w in ids for x in names[w])})
+                found[k] = sorted(names.union(found[k]))
             out = dict(zip(batch.schema.names, batch.columns, strict=True))
             told = {"n_words": pa.array(counts, pa.int64()), "runs": pa.array(runs, batch.schema.field(f"{prefix}runs").type), "found": pa.array(found, batch.schema.field(f"{prefix}found").type)}
             out |= {f"{prefix}{c}": x for c, x in told.items()}

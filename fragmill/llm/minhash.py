@@ -6,19 +6,21 @@ rounds: in round r < SIZE every element draws a bin and a value r + u; in
 round SIZE + j every element falls into bin j, so every coordinate is filled
 after at most 2 * SIZE rounds, and the share of equal coordinates of two
 sketches concentrates around their Jaccard similarity (Dahlgaard, Knudsen and
-Thorup, 2017).  Bands of ``ROWS`` coordinates propose candidates: at a
-similarity of 0.8 a pair shares no band with probability 3e-7, at 0.85 2e-9.
+Thorup, 2017).  Bands of ``band_rows`` coordinates propose candidates, as many
+as leave a pair at the threshold without a shared band in less than one case of
+``MISS``: 25 bands of 5 at 0.85 (4e-7; a pair at 0.3 is proposed in 6 % of
+cases), 32 bands of 4 at 0.8 (5e-8).
 
 Links are decided on the full sets.  Documents with equal sets form one class
-with a key of its own, and only its smallest id's text goes on.  Within a bucket no all-pairs list is made:
-seeded stars merge most members first.  Components that still meet in some
-bucket form clusters; the members outside a cluster's largest component are
-then compared, in blocks, with every member of another component that shares a
-band, so no link between components is lost, however large a bucket is.
+with a key of its own, and only its smallest id's text goes on.  No bucket's
+pairs are listed: seeded stars merge most members first.  Where components
+still meet in a bucket, its members outside the largest of them are compared
+with all other members of the bucket, in blocks bounded by number and size, and
+each pair only in the first band that it shares.  So no link between components
+is lost, however large a bucket is, and buckets never chain into larger jobs.
 
 Null and empty texts have an empty set, are linked with nothing and stay; a null
-doc_id takes the component of its set.
-Rows that repeat a doc_id are judged one by one, each by its own text.
+doc_id takes the component of its set.  Rows that repeat a doc_id are judged one by one, each by its own text.
 An empty table gives an empty result.
 """
 
@@ -28,19 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fragmill.llm import bytesops as B
 from fragmill.llm.components import connected_components
 from fragmill.llm.runtime import cut
 
-SIZE, ROWS = 64, 3
-BANDS = SIZE // ROWS
+SIZE, MISS = 128, 1e-6
 #: Rounds of stars before the block comparison.
 ROUNDS = 1
-#: Members of one block of the final comparison, and those that are compared with them at once.
-BLOCK, PROBES = 512, 512
+#: Members of one block of a bucket, those that are compared with them at once, and shingles of either.
+BLOCK, PROBES, SHINGLES = 512, 512, 2_000_000
 
 _rng = np.random.default_rng(20170417)
 _SEEDS = _rng.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,7 +108,12 @@ def sketches(elements: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> np.
     return out
 
 
-def band_hashes(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_rows(percent: int, size: int = SIZE) -> int:
+    """The most coordinates of a band at which a pair of this similarity shares none with a probability below ``MISS``; 1 at least."""
+    return max([r for r in range(1, size + 1) if (1 - (percent / 100) ** r) ** (size // r) < MISS], default=1)
+
+
+def band_hashes(sketch: np.ndarray, rows: int) -> np.ndarray:
     """One hash for each run of ``rows`` coordinates, different from band to band."""
     bands = sketch.shape[1] // rows
     h = np.arange(1, bands + 1, dtype=B.U64)[None, :] * _SALTS[6]
@@ -129,7 +135,7 @@ def fingerprints(elements: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [(r[offsets[1:]] - r[offsets[:-1]]).view(np.int64) for r in running]
 
 
-def signer(width: int):
+def signer(width: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = B.text_bytes(batch.column("text"))
@@ -137,9 +143,9 @@ def signer(width: int):
                 elements, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 n = np.diff(at)
                 fp = fingerprints(elements, at)
-                bands = band_hashes(sketches(elements, at))
+                bands = band_hashes(sketches(elements, at), rows)
+                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands.shape[1], 0))])
                 bands = bands[n > 0].ravel()
-                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n), *map(pa.array, fp), _lists(bands, ends), batch.column("text_key").slice(i, j - i)], schema=_SIGNED)
 
     return run
@@ -190,12 +196,12 @@ def pair_checker(percent: int):
 
 
 def block_checker(percent: int):
-    """Links between components inside one block of a cluster, of pairs that share a band.
+    """Links between components inside one block of a bucket, of pairs whose first shared band is the bucket's.
 
     Only links that join what the block has not joined yet are given: fewer than it has components.
     """
 
-    def links(rep: np.ndarray, comp: np.ndarray, probe: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    def links(band: int, rep: np.ndarray, comp: np.ndarray, probe: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         member = np.flatnonzero(~probe)
         if not len(member) or len(member) == len(rep):
             return
@@ -206,7 +212,7 @@ def block_checker(percent: int):
             n = len(sets[p])
             open_ = comp[member] != comp[p]
             open_ &= 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
-            open_ &= (bands[member] == bands[p]).any(axis=1)
+            open_ &= (bands[member] == bands[p]).argmax(axis=1) == band
             if not open_.any():
                 continue
             at = np.searchsorted(sets[p], flat)
@@ -217,26 +223,26 @@ def block_checker(percent: int):
                     yield int(rep[p]), int(rep[member[k]])
                     comp[comp == comp[member[k]]] = comp[p]
 
-    def flush(rows: list) -> pa.RecordBatch:
+    def flush(band: int, rows: list) -> pa.RecordBatch:
         rep, comp, probe, bands, sets = zip(*rows, strict=True)
-        found = list(links(np.array(rep), np.array(comp), np.array(probe, bool), np.stack(bands), list(sets)))
+        found = list(links(band, np.array(rep), np.array(comp), np.array(probe, bool), np.stack(bands), list(sets)))
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cluster, block and part: at most about BLOCK + PROBES of each."""
+        """Rows come sorted by bucket, block and part: about BLOCK + PROBES, or twice SHINGLES, of each."""
         key, rows = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "block", "part")), strict=True))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "part", "band")), strict=True))
             rep, comp, probe = (batch.column(c).to_pylist() for c in ("rep", "comp", "probe"))
             bands, sets = batch.column("bands"), batch.column("elements")
             for k, now in enumerate(keys):
                 if now != key and rows:
-                    yield flush(rows)
+                    yield flush(key[3], rows)
                     rows = []
                 key = now
                 rows.append((rep[k], comp[k], probe[k], bands[k].values.to_numpy(zero_copy_only=False), sets[k].values.to_numpy(zero_copy_only=False).view(B.U64)))
         if rows:
-            yield flush(rows)
+            yield flush(key[3], rows)
 
     return run
 
@@ -254,11 +260,12 @@ def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The rows of ``near_duplicates`` with text_key, the xxhash64 of a row's text, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    signed = cut(texts.mapInArrow(signer(width), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<bigint>, text_key long"))
+    signed = cut(texts.mapInArrow(signer(width, band_rows(percent)), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<bigint>, text_key long"))
     alike = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("least"), F.min_by("bands", "doc_id").alias("bands")).withColumn("rep", F.xxhash64("fp1", "fp2", "n_shingles")))
-    buckets = alike.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = cut(buckets.join(shared.select("bucket"), "bucket"))
+    buckets = alike.select("rep", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "bucket"))
+    # What a hot bucket meets is cut first: then Spark can split the bucket's rows over tasks.
+    shared = cut(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket"))
+    buckets = cut(buckets.join(shared, "bucket"))
     ids = buckets.select("rep").distinct()
     sets = cut(alike.join(ids, "rep").select("rep", "least", "fp1", "fp2", "bands").join(texts.select(F.col("doc_id").alias("least"), "text"), "least").mapInArrow(set_maker(width), "rep long, bands array<bigint>, elements array<bigint>"))
 
@@ -267,34 +274,35 @@ def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
         rows = pairs.join(small.toDF("b", "b_set"), "b").join(small.toDF("a", "a_set"), "a").select("a", "b", "a_set", "b_set")
         return rows.mapInArrow(pair_checker(percent), "a long, b long")
 
+    def split(now: DataFrame, *lead: Column) -> DataFrame:
+        """Per bucket in which several components meet: the largest (top), all members and their shingles, and those of the rest."""
+        per = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), *lead)
+        extra = ["lead"] if lead else []
+        order = [-F.col("lead.h"), "comp", "lead"] if lead else ["comp"]
+        met = per.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max(F.struct("n", *order, "weight")).alias("top")).where("comps > 1")
+        return cut(met.select("bucket", F.col("top.comp").alias("top"), "n", "weight", (F.col("n") - F.col("top.n")).alias("rest"), (F.col("weight") - F.col("top.weight")).alias("rest_weight"), *[F.col(f"top.{c}") for c in extra]))
+
     links = spark.createDataFrame([], "a long, b long")
     comps = ids.select("rep", F.col("rep").alias("comp"))
     for seed in range(ROUNDS):
         now = buckets.join(comps, "rep")
-        lead = F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), "rep"))
-        sizes = now.groupBy("bucket", "comp").agg(F.count("*").alias("n"), lead.alias("lead"))
-        stars = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("n", -F.col("lead.h"), "comp", "lead")).alias("top")).where("comps > 1")
-        pairs = now.join(stars, "bucket").where("comp <> top.comp").groupBy(F.col("rep").alias("b")).agg(F.min("top.lead").alias("lead")).select(F.col("lead.rep").alias("a"), "b")
+        stars = split(now, F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), "rep")).alias("lead"))
+        pairs = now.join(stars.select("bucket", "top", "lead"), "bucket").where("comp <> top").groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("lead")).select(F.col("lead.rep").alias("a"), "b")
         found = cut(checked(pairs))
         if found.isEmpty():
             break
         links = links.unionByName(found)
-        comps = connected_components(ids.withColumnRenamed("rep", "id"), links).toDF("rep", "comp")
+        comps = cut(connected_components(ids.withColumnRenamed("rep", "id"), links).toDF("rep", "comp"))
 
-    # Components that still meet in a bucket form clusters; what is outside a cluster's largest component meets all of it.
     now = buckets.join(comps, "rep")
-    tops = now.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
-    meets = cut(now.join(tops.select("bucket", "a"), "bucket").select("a", F.col("comp").alias("b")).where("a < b").distinct())
-    nodes = meets.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    clusters = connected_components(nodes, meets).toDF("comp", "cluster")
-    open_ = cut(comps.join(clusters, "comp"))
-    sizes = open_.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
-    open_ = open_.join(sizes, "cluster").withColumns({"blocks": F.ceil(F.col("n") / BLOCK), "parts": F.ceil((F.col("n") - F.col("top.n")) / PROBES)})
+    parts = lambda n, weight, most: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(weight) / SHINGLES))
+    met = split(now).select("bucket", "top", parts("n", "weight", BLOCK).alias("blocks"), parts("rest", "rest_weight", PROBES).alias("parts"))
+    open_ = now.join(met, "bucket")
     place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    members = open_.select("cluster", place("block", "blocks").alias("block"), every("parts").alias("part"), "rep", "comp", F.lit(False).alias("probe"))
-    probes = open_.where("comp <> top.comp").select("cluster", every("blocks").alias("block"), place("part", "parts").alias("part"), "rep", "comp", F.lit(True).alias("probe"))
-    rows = members.unionByName(probes).join(sets, "rep").repartition("cluster", "block", "part").sortWithinPartitions("cluster", "block", "part")
+    members = open_.select("bucket", "band", place("block", "blocks").alias("block"), every("parts").alias("part"), "rep", "comp", F.lit(False).alias("probe"))
+    probes = open_.where("comp <> top").select("bucket", "band", every("blocks").alias("block"), place("part", "parts").alias("part"), "rep", "comp", F.lit(True).alias("probe"))
+    rows = members.unionByName(probes).join(sets, "rep").repartition("bucket", "block", "part").sortWithinPartitions("bucket", "block", "part")
     last = cut(rows.mapInArrow(block_checker(percent), "a long, b long"))
     if not last.isEmpty():
         comps = connected_components(ids.withColumnRenamed("rep", "id"), links.unionByName(last)).toDF("rep", "comp")
