@@ -111,6 +111,11 @@ def join_small(left: DataFrame, small: DataFrame, key: str, how: str = "inner",
     return out.drop("__key")
 
 
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows that it has at most ``BROADCAST_ROWS``; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def ranked(rows: DataFrame, order: list[str | Column]) -> DataFrame:
     """``rows`` and their ranks from 0 in the order given, as a column rank; rows that tie in all of it in any order."""
     spark = rows.sparkSession

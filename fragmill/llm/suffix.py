@@ -25,11 +25,16 @@ covered, what it holds once is asked of the other blocks of the anchor, by one
 row for each window.  So neither a task nor a window's rows grow with the
 number of segments that an anchor has: a window has one row for each block.
 
-The texts are exchanged once, by row, and serve three readers in one plan.
+Rows equal in doc_id and text are counted first: one of them is dealt, so that
+others meet its windows, and all of them are covered whole if a window fits.
+Different rows are told apart by 96 bits of hashes.
 
-Null texts are empty; texts shorter than a window have no repeats.  Rows that
-repeat a doc_id are documents of their own, and equal rows are copies.  An
-empty table gives an empty result.
+What a hot key meets in a join is cut first, so that Spark can split the key's
+rows over tasks.
+
+Null texts are empty; texts shorter than a window have no repeats.  Different
+rows that share a doc_id are documents of their own.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragmill.llm import bytesops as B
+from fragmill.llm.runtime import cut, maybe_broadcast
 
 #: Bytes of an anchor's k-gram.
 K = 32
@@ -104,8 +110,8 @@ def _dealt(length: int):
                     row = np.zeros(len(first), np.int64)
                 else:
                     row, first, count, h = segments(part, at, length)
-                uid = batch.column("uid").slice(i, j - i).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(uid[row]), pa.array(first), pa.array(count.astype(np.int32))], names=["h", "uid", "first", "windows"])
+                uid, mark = (batch.column(c).slice(i, j - i).to_numpy()[row] for c in ("uid", "mark"))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(uid), pa.array(mark), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names=["h", "uid", "mark", "first", "windows"])
 
     return run
 
@@ -115,17 +121,17 @@ def _prints(text: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def _cut_out(length: int, bodies: bool):
-    """Segments of each document: with ``bodies``, the first of equal ones of a task carries its bytes and the second none.
+    """Segments of each document: with ``bodies``, the first of equal ones of a task carries its bytes, and the second and one with another left byte none.
 
     The part is 0, or for a hot anchor from 1 by the segment's hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], int] = {}
+        seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
             data, offsets = B.text_bytes(batch.column("text"))
             runs = batch.column("runs")
-            uids = batch.column("uid").to_numpy()
+            uids, marks = (batch.column(c).to_numpy() for c in ("uid", "mark"))
             edges = runs.offsets.to_numpy() - runs.offsets[0].as_py()
             flat = runs.flatten()
             h, first, windows = (flat.field(c).to_numpy() for c in ("h", "first", "windows"))
@@ -133,25 +139,27 @@ def _cut_out(length: int, bodies: bool):
             for k in range(batch.num_rows):
                 a, b = edges[k], edges[k + 1]
                 text = data[offsets[k] : offsets[k + 1]]
-                ends = first[a:b] + windows[a:b] + length - 1
-                fp = _prints(text, first[a:b].astype(np.int64), ends.astype(np.int64))
+                ends = first[a:b].astype(np.int64) + windows[a:b] + length - 1
+                fp = _prints(text, first[a:b].astype(np.int64), ends)
                 if not bodies:
-                    out.append((h[a:b], fp, np.full(b - a, uids[k]), first[a:b]))
+                    out.append((fp, np.full(b - a, uids[k]), np.full(b - a, marks[k]), first[a:b]))
                     continue
                 raw = text.tobytes()
                 parts = flat.field("parts").to_numpy()[a:b].astype(np.int64)
                 part = np.where(parts > 0, fp % np.maximum(parts, 1) + 1, 0)
                 for x, f, s, e, p in zip(h[a:b].tolist(), fp.tolist(), first[a:b].tolist(), ends.tolist(), part.tolist(), strict=True):
-                    n = seen[x, f] = seen.get((x, f), 0) + 1
-                    if n <= 2:
-                        out.append((x, f, raw[s:e] if n == 1 else None, raw[s - 1] if s else -1, p))
+                    n, left = seen.get(f, (0, 0))
+                    own = raw[s - 1] if s else -1
+                    if n < 2 or (n == 2 and own != left):
+                        seen[f] = (n + 1, own)
+                        out.append((x, f, None if n else raw[s:e], own, p))
                 if len(seen) > 1_000_000:
                     seen.clear()
             if bodies:
                 cols = list(zip(*out, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int16()), pa.array(cols[4], pa.int32())], names=["h", "fp", "body", "left", "part"])
             elif out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["h", "fp", "uid", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["fp", "uid", "mark", "first"])
 
     return run
 
@@ -222,14 +230,16 @@ class SuffixArray:
             at += 8
 
 
-def maximal_repeats(bodies: list[bytes], lefts: list[int], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Common length and occurrences (segment, offset) of each maximal repeat among the segments."""
+def maximal_repeats(bodies: list[bytes], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Common length and occurrences (segment, offset) of each maximal repeat among the segments.
+
+    The start of a segment counts as unlike any other left neighbour, as what lies to its left is another segment's.
+    """
     sa = SuffixArray(bodies, length)
     n = len(sa.place)
     if not n:
         return
     offset = sa.place - sa.starts[sa.segment]
-    # The start of a segment differs from every other left neighbour, and from other starts.
     left = np.where(offset > 0, sa.text[np.maximum(sa.place - 1, 0)].astype(np.int64), -1 - np.arange(n))
     heads = np.flatnonzero(sa.lcp == 0)
     sizes = np.diff(np.concatenate([heads, [n]]))
@@ -261,12 +271,13 @@ def _answers(h: object, fp: object, ranges: object, w: object, at: object) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["h", "fp", "ranges", "w", "at"])
 
 
-def hot_block(h: int, fps: list[int], bodies: list[bytes], counts: list[int], length: int) -> Iterator[pa.RecordBatch]:
-    """What a block of a hot anchor knows of its distinct segments, and its windows for the other blocks.
+def _grouped(key: object, depth: object, goes_on: object, fp: object, at: object) -> pa.RecordBatch:
+    cols = zip((key, depth, goes_on, fp, at), (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32()), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["repeat", "depth", "goes_on", "fp", "at"])
 
-    A window that the block holds twice, or that lies in a segment met twice,
-    has a row without fp; one that it holds once has a row that asks for more.
-    """
+
+def window_prints(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, offset and hash of each window of the segments."""
     sizes = np.array([len(b) for b in bodies], np.int64)
     starts = np.cumsum(sizes) - sizes
     windows = np.maximum(sizes - length + 1, 0)
@@ -274,7 +285,18 @@ def hot_block(h: int, fps: list[int], bodies: list[bytes], counts: list[int], le
     at = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
     place = starts[segment] + at
     prefix = B.prefix_hash(np.frombuffer(b"".join(bodies), np.uint8))
-    w, back, n = np.unique(B.span_hash(prefix, place, place + length).view(np.int64), return_inverse=True, return_counts=True)
+    return segment, at, B.span_hash(prefix, place, place + length).view(np.int64)
+
+
+def hot_block(h: int, fps: list[int], bodies: list[bytes], counts: list[int], length: int) -> Iterator[pa.RecordBatch]:
+    """What a block of a hot anchor knows of its distinct segments, and its windows for the other blocks.
+
+    A window that the block holds twice, or that lies in a segment met twice,
+    has a row without fp; one that it holds once has a row that asks for more.
+    """
+    sizes = [len(b) for b in bodies]
+    segment, at, prints = window_prints(bodies, length)
+    w, back, n = np.unique(prints, return_inverse=True, return_counts=True)
     copied = np.array(counts) > 1
     told = n > 1
     told[back[copied[segment]]] = True
@@ -298,29 +320,53 @@ def hot_block(h: int, fps: list[int], bodies: list[bytes], counts: list[int], le
         yield _answers(np.full(m, h), fp[i : i + m], [None] * m, asked[i : i + m], offset[i : i + m])
 
 
-def _covered(length: int):
-    """Rows sorted by h, part and fp to the ranges of each segment that maximal repeats cover, or for hot anchors what ``hot_block`` gives."""
+def _covered(length: int, groups: bool = False):
+    """Rows sorted by h, part and fp to the ranges of each segment that maximal repeats cover, or for hot anchors what ``hot_block`` gives.
+
+    With ``groups`` the repeats themselves instead: one row for each occurrence
+    (repeat, depth, goes_on, fp, at), where a hot anchor's are its windows, met or not.
+    """
 
-    def flush(group: list[tuple[int, int, bytes, int, int]]) -> pa.RecordBatch:
+    def flush(group: list[tuple[int, int, bytes, int, int]]) -> Iterator[pa.RecordBatch]:
         spans: list[list[list[int]]] = [[[0, len(b)]] if n > 1 else [] for _, _, b, _, n in group]
         per: dict[int, list[int]] = {}
         for k, (h, *_) in enumerate(group):
             per.setdefault(h, []).append(k)
-        mixed = [k for own in per.values() if len(own) > 1 for k in own]
-        if mixed:
-            for depth, found in maximal_repeats([group[k][2] for k in mixed], [group[k][3] for k in mixed], length):
+        mixed = [k for own in per.values() if len(own) > 1 or groups for k in own]
+        told: list[tuple[int, int, bool, int, int]] = []
+        bodies = [group[k][2] for k in mixed]
+        for depth, found in maximal_repeats(bodies, length) if mixed else ():
+            if groups:
+                k, at = found[0]
+                key = int(_prints(np.frombuffer(bodies[k][at : at + depth], np.uint8), np.array([0]), np.array([depth]))[0])
+                # The byte before each occurrence: of the segment, or what is known to stand before all of the segment's copies.
+                before = {bodies[k][at - 1] if at else group[mixed[k]][3] for k, at in found}
+                goes_on = len(before) == 1 and min(before) >= 0
+                told += [(key, depth, goes_on, group[mixed[k]][1], at) for k, at in found]
+            else:
                 for segment, offset in found:
                     spans[mixed[segment]].append([offset, offset + depth])
-        rows = [(group[k][0], group[k][1], [{"a": a, "b": b} for a, b in merged(s)]) for k, s in enumerate(spans) if s]
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        return _answers(*cols, cols[1], [None] * len(rows))
+        if groups:
+            # A segment that several rows have is a repeat even where no other segment shares its windows.
+            told += [(fp, len(body), left >= 0, fp, 0) for _, fp, body, left, n in group if n > 1]
+            yield _grouped(*(list(zip(*told, strict=True)) or [[]] * 5))
+        if not groups:
+            rows = [(group[k][0], group[k][1], [{"a": a, "b": b} for a, b in merged(s)]) for k, s in enumerate(spans) if s]
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            yield _answers(*cols, cols[1], [None] * len(rows))
 
     def settle(group: list[tuple[int, int, bytes, int, int]], hot: bool) -> Iterator[pa.RecordBatch]:
-        if hot:
+        if hot and groups:
+            segment, at, w = window_prints([g[2] for g in group], length)
+            fp = np.array([g[1] for g in group], np.int64)[segment]
+            for i in range(0, len(w), 1 << 16):
+                m = len(w[i : i + (1 << 16)])
+                yield _grouped(w[i : i + m], np.full(m, length), [None] * m, fp[i : i + m], at[i : i + m])
+        elif hot:
             _, fps, bodies, _, counts = zip(*group, strict=True)
             yield from hot_block(group[0][0], list(fps), list(bodies), list(counts), length)
         elif group:
-            yield flush(group)
+            yield from flush(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int, bytes, int, int]] = []
@@ -329,7 +375,7 @@ def _covered(length: int):
             for h, fp, body, left, part in zip(*(batch.column(c).to_pylist() for c in ("h", "fp", "body", "left", "part")), strict=True):
                 if group and group[-1][:2] == (h, fp):
                     last = group[-1]
-                    group[-1] = (h, fp, last[2] or body, last[3], last[4] + 1)
+                    group[-1] = (h, fp, last[2] or body, left if left == last[3] else -1, last[4] + 1)
                     size += len(body or b"") if last[2] is None else 0
                     continue
                 other = bool(group) and group[-1][0] != h
@@ -377,17 +423,32 @@ def _spans(length: int):
     return run
 
 
-def _prepared(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """The exchanged texts, and per text the segments whose anchor hash is met more than once."""
+_KEY = ["uid", "mark"]
+
+
+def _prepared(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts; keys (uid, mark) of rows that are there more than once; and per dealt text its segments whose anchor hash is met more than once."""
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("uid", F.xxhash64("doc_id", "text"))
-    dealt = texts.select("uid", "text").mapInArrow(_dealt(length), "h long, uid long, first long, windows int")
+    texts = texts.withColumns({"uid": F.xxhash64("doc_id", "text"), "mark": F.hash("text", "doc_id")})
+    copies = cut(texts.groupBy(*_KEY).count().where("count > 1").select(*_KEY))
+    once = texts
+    if not copies.isEmpty():
+        small = maybe_broadcast(copies)
+        once = texts.join(small, _KEY, "left_anti").unionByName(texts.join(small, _KEY, "left_semi").groupBy(*_KEY).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select(texts.columns))
+    dealt = once.select(*_KEY, "text").mapInArrow(_dealt(length), "h long, uid long, mark int, first int, windows int")
     # An anchor's segments have at most 2 * length - K bytes each; 0 parts mean that it is not hot.
     most = max(1, BLOCK // (2 * length - K))
     parts = F.when(F.col("n") > most, F.least(F.ceil(F.col("n") / most), F.lit(1 << 30))).otherwise(0).cast("int")
-    again = dealt.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", parts.alias("parts"))
-    runs = dealt.join(again, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "first", "windows", "parts")).alias("runs"))
-    return texts, texts.join(runs, "uid").select("uid", "text", "doc_id", "runs")
+    again = cut(dealt.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", parts.alias("parts")))
+    runs = dealt.join(again, "h").groupBy(*_KEY).agg(F.collect_list(F.struct("h", "first", "windows", "parts")).alias("runs"))
+    return texts, copies, once.join(runs, _KEY).select(*_KEY, "text", "doc_id", "runs")
+
+
+def _segments(held: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct segments with their bytes, dealt by anchor, and every document's segments (fp, uid, mark, first)."""
+    first_of_each = held.mapInArrow(_cut_out(length, True), "h long, fp long, body binary, left short, part int")
+    members = held.mapInArrow(_cut_out(length, False), "fp long, uid long, mark int, first int")
+    return first_of_each.repartition("h", "part").sortWithinPartitions("h", "part", "fp"), members
 
 
 def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -395,19 +456,45 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     The spans are the merged occurrences of all maximal repeats of at least ``length`` bytes.
     """
-    texts, held = _prepared(docs, length)
-    first_of_each = held.mapInArrow(_cut_out(length, True), "h long, fp long, body binary, left short, part int")
-    answers = first_of_each.repartition("h", "part").sortWithinPartitions("h", "part", "fp").mapInArrow(_covered(length), "h long, fp long, ranges array<struct<a:int,b:int>>, w long, at int")
+    texts, copies, held = _prepared(docs, length)
+    ordered, members = _segments(held, length)
+    answers = ordered.mapInArrow(_covered(length), "h long, fp long, ranges array<struct<a:int,b:int>>, w long, at int")
     one = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b")))
     met = answers.withColumn("n", F.count("*").over(Window.partitionBy("h", "w"))).where("fp IS NOT NULL AND (at IS NULL OR n > 1)")
-    covered = met.select("h", "fp", F.coalesce("ranges", one).alias("ranges"))
-    members = held.mapInArrow(_cut_out(length, False), "h long, fp long, uid long, first long")
+    # A segment's hash stands for its bytes, and so for its anchor.
+    covered = cut(met.select("fp", F.coalesce("ranges", one).alias("ranges")).groupBy("fp").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
     shifted = F.transform("ranges", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"]).alias("b")))
-    found = members.join(covered, ["h", "fp"]).groupBy("uid").agg(F.flatten(F.collect_list(shifted)).alias("found"))
-    rows = texts.join(found, "uid", "left").select("doc_id", "text", "found")
+    found = members.join(covered, "fp").groupBy(*_KEY).agg(F.flatten(F.collect_list(shifted)).alias("found"))
+    once, again = texts, None
+    if not copies.isEmpty():
+        small = maybe_broadcast(copies)
+        once, again = texts.join(small, _KEY, "left_anti"), texts.join(small, _KEY, "left_semi")
+    rows = once.join(found, _KEY, "left").select("doc_id", "text", "found")
+    if again is not None:
+        size = F.octet_length("text")
+        rows = rows.unionByName(again.select("doc_id", "text", F.when(size >= length, F.array(F.struct(F.lit(0).alias("a"), size.alias("b")))).alias("found")))
     key = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_spans(length), f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
 
 
+def repeat_groups(docs: DataFrame, length: int = 200) -> DataFrame:
+    """repeat (a hash of its bytes), depth (bytes), goes_on, doc_id and start (byte offset) of every occurrence of every maximal repeat.
+
+    Repeats are maximal within the segments of one anchor: a longer one appears
+    as the pieces that its anchors cut, and goes_on says that a piece has one
+    byte before all its occurrences, so that another piece ends there.  An
+    anchor met more often than ``BLOCK`` allows gives its repeated windows, with
+    goes_on null.  Of rows equal in doc_id and text one is listed.  Each group
+    has two occurrences at least.
+    """
+    _, _, held = _prepared(docs, length)
+    ordered, members = _segments(held, length)
+    told = cut(ordered.mapInArrow(_covered(length, True), "repeat long, depth int, goes_on boolean, fp long, at int").groupBy("repeat", "depth", "fp", "at").agg(F.min("goes_on").alias("goes_on")))
+    places = members.join(told, "fp").groupBy("repeat", "depth", *_KEY, (F.col("first") + F.col("at")).alias("start")).agg(F.min("goes_on").alias("goes_on"))
+    places = cut(places.join(held.select(*_KEY, "doc_id"), _KEY))
+    many = cut(places.groupBy("repeat", "depth").agg(F.count("*").alias("n"), F.min("goes_on").alias("goes_on")).where("n > 1").drop("n"))
+    return places.drop("goes_on").join(many, ["repeat", "depth"]).select("repeat", "depth", "goes_on", "doc_id", "start")
+
+
 def op6(docs: DataFrame) -> DataFrame:
     return repeats(docs).drop("spans")

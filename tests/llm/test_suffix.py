@@ -30,7 +30,7 @@ def test_maximal_repeats_list_all_occurrences():
         length = rng.choice([8, 9, 12, 16, 20, 33])
         base = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 120))) for _ in range(4)]
         bodies = [b"".join(rng.choice(base)[rng.randrange(20) : rng.randrange(20, 120)] for _ in range(rng.randrange(1, 4))) or b"x" for _ in range(rng.randrange(1, 8))]
-        for depth, found in suffix.maximal_repeats(bodies, [-1] * len(bodies), length):
+        for depth, found in suffix.maximal_repeats(bodies, length):
             text = bodies[found[0][0]][found[0][1] : found[0][1] + depth]
             assert set(found) == {(k, i) for k, b in enumerate(bodies) for i in range(len(b) - depth + 1) if b[i : i + depth] == text}
             assert depth >= length and len(found) > 1
@@ -103,6 +103,47 @@ def test_hot_anchors_match_brute_force(spark, monkeypatch):
         rows.append((k, text(200) + rng.choice(starts)[160 - a :] + passage + rng.choice(ends)[:b] + text(200)))
     rows += [(500 + k, rows[0][1]) for k in range(40)] + [(600, text(900)), (601, None), (602, passage[:230] + text(100)), (0, rows[0][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    _, held = suffix._prepared(docs, 200)
+    _, _, held = suffix._prepared(docs, 200)
     assert held.selectExpr("explode(runs) r").where("r.parts > 1").count() > 100
     assert sorted(tuple(r) for r in suffix.op6(docs).collect()) == brute(rows, 200)
+
+
+def test_equal_rows_are_linear(spark):
+    """Thousands of equal rows, with and without a doc_id, next to texts that share a part of them."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    body, short = text(1200), text(150)
+    rows = [(1, body)] * 5000 + [(None, body)] * 5000 + [(2, short)] * 3000 + [(3, text(300) + body[200:700] + text(300)), (4, text(900))]
+    got = sorted((tuple(r) for r in suffix.op6(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    whole = hashlib.sha256(b"").hexdigest()
+    few = brute([(1, body)] * 2 + [(2, short)] * 2 + rows[-2:], 200)
+    want = [(i, 1200, 1200, 1, whole) for i in (1, None) for _ in range(5000)] + [x for x in few if x[0] == 2] * 1500 + [x for x in few if x[0] > 2]
+    assert got == sorted(want, key=str)
+
+
+def test_repeat_groups_list_every_occurrence(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(320)
+    rows = [(k, text(50 * k) + passage + text(90)) for k in range(6)] + [(10, text(700)), (11, passage[40:300]), (12, None)]
+    rows += [(20, passage)] * 3
+    texts = {i: (t or "").encode() for i, t in rows}
+    found = suffix.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault((r.repeat, r.depth), set()).add((r.doc_id, r.start))
+        if r.goes_on:
+            assert len({texts[x.doc_id][x.start - 1] for x in found if (x.repeat, x.depth) == (r.repeat, r.depth)}) == 1
+    for (_, depth), places in groups.items():
+        (body,) = {texts[i][s : s + depth] for i, s in places}
+        assert depth >= 200 and len(places) > 1
+        assert places == {(i, s) for i, t in texts.items() for s in range(len(t)) if t.startswith(body, s)}
+    # What the groups cover is what the query removes of rows that are there once.
+    removed = {r.doc_id: r.n_removed for r in suffix.op6(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(6):
+        mark = np.zeros(len(texts[i]), bool)
+        for (_, depth), places in groups.items():
+            for d, s in places:
+                if d == i:
+                    mark[s : s + depth] = True
+        assert mark.sum() == removed[i] >= 320
