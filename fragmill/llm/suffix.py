@@ -462,7 +462,7 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     one = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b")))
     met = answers.withColumn("n", F.count("*").over(Window.partitionBy("h", "w"))).where("fp IS NOT NULL AND (at IS NULL OR n > 1)")
     # A segment's hash stands for its bytes, and so for its anchor.
-    covered = cut(met.select("fp", F.coalesce("ranges", one).alias("ranges")).groupBy("fp").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
+    covered = met.select("fp", F.coalesce("ranges", one).alias("ranges"))
     shifted = F.transform("ranges", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"]).alias("b")))
     found = members.join(covered, "fp").groupBy(*_KEY).agg(F.flatten(F.collect_list(shifted)).alias("found"))
     once, again = texts, None
