@@ -160,6 +160,16 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, mean: np.ndarray, scale: np
     return float(np.clip(best, 0.01, 0.99))
 
 
+def risk_slope(gp: np.ndarray, gu: np.ndarray, prior: float) -> np.ndarray:
+    """The derivative to follow downhill, by outputs of positives and then unlabelled rows.
+
+    That of the whole risk where the bracket is positive; else the bracket's own with its sign turned, so that it is ascended.
+    """
+    rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    down_p, neg_p, neg_u = -_sigmoid(-gp) * prior / len(gp), _sigmoid(gp) * prior / len(gp), _sigmoid(gu) / len(gu)
+    return np.concatenate([down_p - neg_p, neg_u] if rest >= 0 else [neg_p, -neg_u])
+
+
 def train(pos: np.ndarray, unl: np.ndarray, prior: float | None = None) -> tuple[Net, float]:
     both = np.concatenate([pos, unl])
     mean, scale = both.mean(0), both.std(0) + 1e-3
@@ -169,12 +179,7 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float | None = None) -> tuple
     for p, u in _batches(len(zp), len(zu), 13):
         z = np.concatenate([zp[p], zu[u]])
         g, hidden = net.forward(z)
-        gp, gu = g[:BATCH], g[BATCH:]
-        rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        down_p, neg_p, neg_u = -_sigmoid(-gp) * prior / BATCH, _sigmoid(gp) * prior / BATCH, _sigmoid(gu) / BATCH
-        # Below zero the bracket alone is ascended.
-        slope = np.concatenate([down_p - neg_p, neg_u] if rest >= 0 else [neg_p, -neg_u])
-        net.step(z, hidden, slope)
+        net.step(z, hidden, risk_slope(g[:BATCH], g[BATCH:], prior))
     return net, prior
 
 

@@ -3,8 +3,9 @@
 The reader walks the chain of image directories (little or big endian),
 gathers strips or tiles, decodes none, PackBits, LZW or deflate, undoes the
 horizontal predictor, and gives one page for each directory.  Samples are
-unsigned with 8 bits, interleaved; what else it meets is reported as an error
-of the page, not raised, so one bad file loses no other.
+unsigned with 8 bits, interleaved; what else it meets (other samples, missing
+strips, sizes that do not fit the file, more than ``MOST_BYTES``) is reported as
+an error of the page, not raised, so one bad file loses no other.
 
 A chain that loops ends where it would repeat.  Null or empty media give no
 page.  Equal bytes give equal pages.
@@ -30,6 +31,8 @@ STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_SIZE = 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_SIZE = 284, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+#: Bytes of samples that a page may claim; larger ones are errors.
+MOST_BYTES = 1 << 30
 SCHEMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", PACKBITS: "packbits", OLD_DEFLATE: "deflate"}
 
 
@@ -47,9 +50,10 @@ class Page:
     error: str | None = None
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, size: int) -> bytes:
+    """At most a little over ``size`` bytes."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and len(out) < size:
         n = data[at]
         at += 1
         if n < 128:
@@ -79,12 +83,12 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """Codes from the high bit on, 9 to 12 bits wide, widening one code early; 256 clears, 257 ends."""
+def unpack_lzw(data: bytes, size: int) -> bytes:
+    """Codes from the high bit on, 9 to 12 bits wide, widening one code early; 256 clears, 257 ends.  Stops past ``size`` bytes."""
     out, table = bytearray(), [bytes((k,)) for k in range(256)] + [b"", b""]
     bits = held = at = 0
     width, last = 9, b""
-    while True:
+    while len(out) < size:
         while held < width:
             if at == len(data):
                 return bytes(out)
@@ -107,6 +111,7 @@ def unpack_lzw(data: bytes) -> bytes:
         out += word
         last = word
         width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return bytes(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
@@ -146,15 +151,16 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def decoded(scheme: int, data: bytes) -> bytes:
+def decoded(scheme: int, data: bytes, size: int) -> bytes:
+    """A strip or tile of ``size`` bytes; what a bad one holds beyond them is not unpacked."""
     if scheme == NONE:
         return data
     if scheme in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     if scheme == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, size)
     if scheme == LZW:
-        return unpack_lzw(data)
+        return unpack_lzw(data, size)
     raise ValueError(f"compression {scheme}")
 
 
@@ -198,11 +204,17 @@ def _page(media: bytes, number: int, fields: dict[int, tuple[int, ...]]) -> Page
     tiled = TILE_AT in fields
     across, down = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(one(STRIP_ROWS, height), height))
     starts, sizes = (fields[TILE_AT], fields[TILE_SIZE]) if tiled else (fields[STRIP_AT], fields[STRIP_SIZE])
+    if len(starts) != len(sizes) or len(starts) != -(-height // down) * -(-width // across):
+        raise ValueError(f"{len(starts)} strips or tiles of {width} x {height} samples by {across} x {down}")
+    if (most := -(-height // down) * down * -(-width // across) * across * samples) > MOST_BYTES:
+        raise ValueError(f"a page of {most} bytes")
     canvas = np.zeros((-(-height // down) * down, -(-width // across) * across, samples), np.uint8)
     for k, (at, size) in enumerate(zip(starts, sizes, strict=True)):
         y, x = divmod(k, -(-width // across))
         rows = down if tiled else min(down, height - y * down)
-        block = np.frombuffer(decoded(scheme, media[at : at + size]), np.uint8, rows * across * samples).reshape(rows, across, samples)
+        if at + size > len(media):
+            raise ValueError("a strip or tile beyond the end of the file")
+        block = np.frombuffer(decoded(scheme, media[at : at + size], rows * across * samples), np.uint8, rows * across * samples).reshape(rows, across, samples)
         canvas[y * down : y * down + rows, x * across : x * across + across] = undo_predictor(block) if predictor == 2 else block
     return Page(number, width, height, samples, SCHEMES.get(scheme, str(scheme)), predictor, tiled, len(starts), canvas[:height, :width].tobytes())
 
@@ -225,8 +237,8 @@ def pages(media: bytes) -> Iterator[Page]:
             return
         try:
             yield _page(media, number, fields)
-        except (ValueError, KeyError, IndexError, ZeroDivisionError, struct.error, zlib.error) as e:
-            yield Page(number, 0, 0, 0, "", 0, False, 0, b"", str(e))
+        except (ValueError, KeyError, IndexError, ZeroDivisionError, MemoryError, struct.error, zlib.error) as e:
+            yield Page(number, 0, 0, 0, "", 0, False, 0, b"", str(e) or type(e).__name__)
 
 
 def written(images: list[np.ndarray], scheme: int = DEFLATE, predictor: int = 1, strip_rows: int = 256, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
@@ -286,14 +298,24 @@ def read_pages(files: DataFrame, media: str = "media", key: str = "doc_id") -> D
     return files.select(key, media).mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, {_PAGES}")
 
 
-#: Width of the page that holds a text, and rows of a strip.
-ROW, STRIP = 64, 512
+#: Width of a page that holds text, rows of a strip, bytes of a page, and the sizes up to which a text is stored by LZW and by PackBits.
+ROW, STRIP, PAGE = 64, 512, 1 << 20
+LZW_UP_TO, PACKBITS_UP_TO = 512, 1024
 
 
 def stored(text: bytes) -> bytes:
-    """A text, padded with 0 to whole rows, as one deflated grey page with the horizontal predictor."""
+    """A text, padded with 0 to whole rows, as grey pages of up to ``PAGE`` bytes.
+
+    Small texts lie in LZW tiles, middling ones in PackBits strips, others in
+    deflated strips with the horizontal predictor.
+    """
     payload = text + bytes(-len(text) % ROW or (0 if text else ROW))
-    return written([np.frombuffer(payload, np.uint8).reshape(-1, ROW, 1)], DEFLATE, 2, STRIP)
+    images = [np.frombuffer(payload[k : k + PAGE], np.uint8).reshape(-1, ROW, 1) for k in range(0, len(payload), PAGE)]
+    if len(payload) <= LZW_UP_TO:
+        return written(images, LZW, tile=(16, 32))
+    if len(payload) <= PACKBITS_UP_TO:
+        return written(images, PACKBITS, strip_rows=4)
+    return written(images, DEFLATE, 2, STRIP)
 
 
 def digest(media: bytes) -> tuple[bytes, str]:

@@ -22,22 +22,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragmill.llm.runtime import cut, join_small
+from fragmill.llm.runtime import cut, join_small, maybe_broadcast
 
 #: A capture in this category is allowed whatever else lists it.
 ALLOW = "allow"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without user, port and closing dot; null if there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """Lower-case host without user, port and closing dot, an IPv6 address in its brackets; null if there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)", 1))
     return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parent domains, longest first."""
+    """The host and its parent domains, longest first; an address is itself alone."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    return F.when(host.rlike(r"^\[|^[0-9]+(\.[0-9]+){3}$"), F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -62,7 +62,8 @@ def screen(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     rows = captures.select(*own, host_of(F.col(url)).alias("host")).withColumn("__at", F.when(F.col("host").isNotNull() & F.col(day).isNotNull(), F.concat_ws(" ", "host", F.col(day).cast("string"))))
     asked = rows.where("__at IS NOT NULL").select("host", F.col(day).alias("day"), "__at").distinct()
     probes = asked.select("__at", "day", F.explode(suffixes(F.col("host"))).alias("pattern"))
-    active = probes.join(intervals(entries), "pattern").where("day >= valid_from AND (valid_to IS NULL OR day < valid_to)")
+    # A short list is broadcast; else rows of a common suffix are split over tasks, as both sides are plain exchanges.
+    active = probes.join(maybe_broadcast(cut(intervals(entries))), "pattern").where("day >= valid_from AND (valid_to IS NULL OR day < valid_to)")
     longest = F.max(F.struct(F.length("pattern").alias("n"), "pattern"))
     found = active.groupBy("__at").agg(longest.alias("top"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.count("*").alias("n_active"), F.max((F.col("category") == ALLOW).cast("int")).alias("allowed"))
     found = cut(found.select("__at", F.col("top.pattern").alias("pattern"), "categories", "n_active", (F.col("allowed") == 0).alias("blocked")))

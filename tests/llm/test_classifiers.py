@@ -94,3 +94,93 @@ def test_masks_return_all_languages():
     for at in langid.slots(key):
         masks &= table[at]
     assert masks.tolist() == [[2, 64]] * 5
+
+
+def test_learning_equals_a_plain_loop():
+    """The vectorised pass against FTRL-proximal written out for one coordinate at a time."""
+    rng = random.Random(3)
+    rows = [(float(rng.random() < 0.4), np.array(sorted(rng.sample(range(64), rng.randrange(1, 12))), np.int32)) for _ in range(150)]
+    z, n, bias, grad = [0.0] * 64, [0.0] * 64, 0.0, 0.0
+    l1 = ftrl.L1_ROOT * len(rows) ** 0.5
+
+    def weight(k):
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - (l1 if z[k] > 0 else -l1)) / ((ftrl.BETA + n[k] ** 0.5) / ftrl.ALPHA + ftrl.L2)
+
+    for _ in range(2):
+        for y, at in rows:
+            w = {k: weight(k) for k in at.tolist()}
+            g = 1 / (1 + np.exp(-(sum(w.values()) + bias))) - y
+            g *= ftrl.POSITIVE if y else 1.0
+            for k in w:
+                sigma = ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / ftrl.ALPHA
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+            grad += g * g
+            bias -= 0.1 * g / (1 + grad**0.5)
+    weights, own = ftrl.learn(rows, 6, 2)
+    assert np.allclose(weights, [weight(k) for k in range(64)]) and abs(own - bias) < 1e-9
+    assert (weights != 0).any()
+
+
+def test_risk_slope_is_the_derivative():
+    rng = np.random.default_rng(5)
+    loss = lambda g: np.logaddexp(0, -g).mean()
+    for shift, prior in ((0.0, 0.3), (-6.0, 0.9)):
+        g = np.concatenate([rng.normal(2, 1, 7), rng.normal(shift, 1, 5)])
+        bracket = lambda v: loss(-v[7:]) - prior * loss(-v[:7])
+        whole = lambda v: prior * loss(v[:7]) + bracket(v)
+        goal = whole if bracket(g) >= 0 else lambda v: -bracket(v)
+        steps = np.eye(12) * 1e-6
+        slope = [(goal(g + e) - goal(g - e)) / 2e-6 for e in steps]
+        assert np.allclose(pulearn.risk_slope(g[:7], g[7:], prior), slope, atol=1e-7)
+    assert bracket(g) < 0
+
+
+def test_filters_agree_with_sets(spark):
+    """Languages by exact sets of n-grams, one text at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    langs, grams = langid.own_grams(docs)
+    sets = {lang: set() for lang in langs}
+    for r in grams.collect():
+        sets[r.lang].add(r.gram)
+    got = {r.doc_id: r for r in langid.op10(docs).collect()}
+    checked = 0
+    for r in docs.collect():
+        line = langid.letters(r.text)
+        if not line:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        keys = langid.grams(line.split())[0].view(np.int64).tolist()
+        shares = sorted(((sum(k in sets[lang] for k in keys) / len(keys), lang) for lang in langs), reverse=True)
+        assert abs(got[r.doc_id].score - shares[0][0]) < 0.03
+        if shares[0][0] - shares[1][0] > 0.05:
+            assert got[r.doc_id].lang_pred == shares[0][1]
+            checked += 1
+    assert checked > 150
+
+
+def test_marks_belong_to_words():
+    assert langid.letters("हिन्दी भाषा 12, ok²!") == " हिन्दी भाषा ok "
+    assert langid.letters("\u0301 12 _") == ""
+
+
+def test_repeated_rows_and_null_ids_teach_once(spark):
+    def bad(rng, text):
+        return [*text, "scum", "scum"]
+
+    docs, labels = corpus(300, bad)
+    d, lab = frames(spark, docs, labels)
+    more = d.unionByName(spark.createDataFrame([docs[0]] * 2000 + [(None, "scum " * 50, "x")] * 500, d.schema))
+    long = spark.createDataFrame([(9100, "word " * 400_000 + "scum scum", "x")], d.schema)
+    for run in (ftrl.op5, pulearn.op4):
+        once = {r.doc_id: r.score for r in run(d, lab).collect()}
+        if run is ftrl.op5:
+            again = run(more, lab).collect()
+            assert len(again) == more.count()
+            assert all(abs(once[r.doc_id] - r.score) < 1e-12 for r in again if r.doc_id is not None)
+            assert all(r.held_out for r in again if r.doc_id is None)
+        assert [0 <= r.score <= 1 for r in run(d.unionByName(long), lab).collect() if r.doc_id == 9100] == [True]
+    both = spark.createDataFrame([(k, 1, 1, "y") for k, *_ in docs[:5]], lab.schema)
+    assert ftrl.labelled_sample(d, lab.unionByName(both), "toxic", 10_000).where("label = 1").count() >= ftrl.labelled_sample(d, lab, "toxic", 10_000).where("label = 1").count()

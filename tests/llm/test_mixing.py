@@ -65,3 +65,18 @@ def test_copies_and_empty(spark):
     assert got == want
     assert mixing.copied(docs).columns == docs.columns
     assert mixing.op1(docs.limit(0)).count() == 0
+
+
+def test_equal_rows_share_their_copies(spark):
+    """Thousands of equal rows are one group: the source still meets its target, and the rows stay."""
+    rows = [(1, "a b c", "hot")] * 5000 + [(None, "d e", "hot")] * 5000 + [(k, "w " * (k % 9 + 1), f"s{k % 3}") for k in range(10, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.op1(docs).toPandas()
+    assert len(got) == len(rows)
+    for _, own in got.groupby("target"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= own["size"].max() / 2 + 1e-6
+        assert (own.taken <= 3 * own["size"]).all()
+    equal = got[got.doc_id == 1].copies
+    assert len(equal) == 5000 and equal.max() - equal.min() <= 1
+    n = mixing.copied(docs).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in n if r.doc_id == 1 or r.doc_id is None} == {1: equal.sum(), None: got[got.doc_id.isna()].copies.sum()}

@@ -63,3 +63,48 @@ def test_zero_strips_and_early_lzw_codes_are_page_errors():
                     media[entry + 8 : entry + 12] = bytes(4)
         (page,) = tiff.pages(bytes(media))
         assert page.error
+
+
+def patched(media, tag, value):
+    out = bytearray(media)
+    at = int.from_bytes(out[4:8], "little")
+    for k in range(int.from_bytes(out[at : at + 2], "little")):
+        entry = at + 2 + 12 * k
+        if int.from_bytes(out[entry : entry + 2], "little") == tag:
+            out[entry + 8 : entry + 12] = value.to_bytes(4, "little")
+    return bytes(out)
+
+
+def test_sizes_are_checked_before_anything_is_allocated():
+    image = np.full((40, 4, 1), 7, np.uint8)
+    two = tiff.written([image], tiff.NONE, strip_rows=20)
+    assert tiff.pages(two).__next__().error is None
+    bad = [
+        patched(two, tiff.STRIP_ROWS, 10),
+        patched(patched(two, tiff.WIDTH, 16777215), tiff.HEIGHT, 16777215),
+        patched(tiff.written([image], tiff.DEFLATE), tiff.HEIGHT, 16777215),
+        patched(tiff.written([image], tiff.NONE), tiff.STRIP_SIZE, 10**9),
+        patched(tiff.written([image], tiff.NONE), tiff.STRIP_SIZE, 10),
+    ]
+    for media in bad:
+        (page,) = tiff.pages(media)
+        assert page.error and not page.pixels
+
+
+def test_a_bomb_is_unpacked_no_further_than_its_page():
+    image = np.zeros((8, 8, 1), np.uint8)
+    for scheme, pack in ((tiff.DEFLATE, lambda x: tiff.zlib.compress(x)), (tiff.PACKBITS, tiff.pack_bits), (tiff.LZW, tiff.pack_lzw)):
+        assert len(tiff.decoded(scheme, pack(bytes(1_000_000)), 64)) <= 5000
+        assert tiff.decoded(scheme, pack(image.tobytes()), 64)[:64] == image.tobytes()
+
+
+def test_texts_go_through_every_coding():
+    rng = np.random.default_rng(3)
+    seen = set()
+    for n in (0, 1, 300, 512, 513, 1000, 1024, 1025, 70_000, 2_500_000):
+        text = rng.integers(97, 105, n, dtype=np.uint8).tobytes()
+        payload, feature = tiff.digest(tiff.stored(text))
+        assert payload[:n] == text and not any(payload[n:]) and len(payload) == max(64, -(-n // 64) * 64)
+        seen.add(feature.split(":")[2])
+    assert seen == {"lzw", "packbits", "deflate"}
+    assert tiff.digest(tiff.stored(text))[1].startswith("3:")

@@ -38,3 +38,11 @@ def test_empty_tables(spark):
     entries = spark.createDataFrame([("a.org", "spam", "add", DAY(0))], "pattern string, category string, action string, listed_on date")
     assert [r.blocked for r in urlfilter.screen(captures, entries.limit(0)).collect()] == [False]
     assert urlfilter.screen(captures.limit(0), entries).count() == 0
+
+
+def test_addresses_have_no_parent_domains(spark):
+    urls = ["http://10.1.2.3/a", "http://[2001:db8::1]:80/b", "http://[::1]/", "http://a.b.org/", "http://1.2.org/"]
+    entries = [("2.3", "spam", "add", DAY(0)), ("10.1.2.3", "adult", "add", DAY(0)), ("[2001:db8::1]", "spam", "add", DAY(0)), ("b.org", "spam", "add", DAY(0)), ("2.org", "spam", "add", DAY(0))]
+    captures = spark.createDataFrame([(k, u, DAY(5)) for k, u in enumerate(urls)], "id long, url string, fetched_on date")
+    got = {r.id: (r.host, r.pattern) for r in urlfilter.screen(captures, spark.createDataFrame(entries, "pattern string, category string, action string, listed_on date")).collect()}
+    assert got == {0: ("10.1.2.3", "10.1.2.3"), 1: ("[2001:db8::1]", "[2001:db8::1]"), 2: ("[::1]", None), 3: ("a.b.org", "b.org"), 4: ("1.2.org", "2.org")}
