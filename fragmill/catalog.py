@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fragmill.functions import text as T
@@ -29,7 +29,7 @@ from fragmill.operators.units import Annotation, Lexical, Modifier, QueryUnit, e
 from fragmill.plans import cost, planner
 from fragmill.plans.spec import GraphConstraint, QuerySpec
 from fragmill.search import lexical_unit, query_terms
-from fragmill.session import table
+from fragmill.session import cut, table
 from fragmill.sources import adapters as A
 from fragmill.sources import traces as TR
 
@@ -54,8 +54,17 @@ EXPANSION = [("oner", "onor", 0.75, "abbrev", 1), ("als", "ver", 0.5, "subseq",
 UNITS = [QueryUnit("query", (Lexical(WORDS),)), QueryUnit("second", (Lexical(SECOND, weight=0.8, fields=["doc"]), Lexical(["src"], weight=0.4, fields=["container"])), combine="max"), QueryUnit("third", (Lexical(["heit", "oner"]), Lexical(["thor"], weight=0.3)), combine="sum")]
 
 
+#: Contexts of a session by folder: postings and statistics are built and checkpointed once, like an index that stays open.
+_OPEN: dict[tuple[str, str], Context] = {}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> Context:
-    return A.documents_context(spark, sf_dir, spark.createDataFrame(EXPANSION, "key string, target string, score double, reason string, ord int"))
+    """The documents' index, built at its first use in a session; ``_OPEN.clear()`` after the files of the folder have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OPEN:
+        expansion = spark.createDataFrame(EXPANSION, "key string, target string, score double, reason string, ord int")
+        _OPEN[key] = A.documents_context(spark, sf_dir, expansion).materialized()
+    return _OPEN[key]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +222,7 @@ def s5_unit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def working_set(ctx: Context) -> Frag:
     """All units' evidence as one fragment, in one pass."""
-    hits = evaluate(UNITS, ctx)
+    hits = cut(evaluate(UNITS, ctx))
     return Frag.of(ctx.symbols.join(hits.select("symbol_id").distinct(), "symbol_id", "left_semi"), hits=hits)
 
 
@@ -436,9 +445,44 @@ def g5_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.contains_edges(symbols).select("src", "dst", "kind", "confidence")
 
 
-@query("j9_containers", "SELECT p_brand AS container, min(p_partkey) AS first_id, count(*) AS members, row_number() OVER (ORDER BY min(p_partkey)) AS n FROM part GROUP BY p_brand")
-def j9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.container_spans(A.symbols_parts(spark, sf_dir))
+@query("j9_contains", """SELECT CAST(n_regionkey AS BIGINT) AS src, CAST(1000 + n_nationkey AS BIGINT) AS dst, 'contains' AS kind, 1.0::DOUBLE AS confidence, 'derived_container' AS provenance FROM nation
+UNION ALL SELECT 1000 + s_nationkey, 10000 + s_suppkey, 'contains', 1.0, 'derived_container' FROM supplier""")
+def j9_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containment found again from qualified names alone: regions hold nations hold suppliers."""
+    t = lambda name: table(spark, sf_dir, name)
+    regions, nations = t("region"), t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = lambda i, name, container: [i.cast("long").alias("symbol_id"), name.alias("name"), container.alias("container")]
+    symbols = regions.select(*row(F.col("r_regionkey"), F.col("r_name"), F.lit("")))
+    symbols = symbols.unionByName(nations.select(*row(1000 + F.col("n_nationkey"), F.col("n_name"), F.col("r_name"))))
+    held = t("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    return G.contains_edges(symbols.unionByName(held.select(*row(10000 + F.col("s_suppkey"), F.col("s_name"), F.concat_ws(".", "r_name", "n_name")))))
+
+
+@query("j12_impl_pairs", """WITH p AS (SELECT DISTINCT o_custkey AS abstract, o_orderkey AS impl FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT abstract, impl, c_name AS abstract_name, o_orderstatus AS impl_name, count(*) OVER (PARTITION BY abstract) = 1 AS "unique" FROM p JOIN customer ON c_custkey = abstract JOIN orders ON o_orderkey = impl""")
+def j12_impl_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as abstract symbols, their urgent orders as implementations."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    off = 10_000_000_000
+    names = c.select(F.col("c_custkey").cast("long").alias("symbol_id"), F.col("c_name").alias("name")).unionByName(o.select((F.col("o_orderkey") + off).alias("symbol_id"), F.col("o_orderstatus").alias("name")))
+    pairs = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("long").alias("abstract"), (F.col("o_orderkey") + off).alias("impl"))
+    return G.implementation_pairs(pairs, names).withColumn("impl", F.col("impl") - off)
+
+
+@query("g10_callees", _EDGES + """SELECT id AS symbol_id FROM node WHERE kind = 'order' AND id IN (SELECT dst FROM e WHERE kind = 'calls' AND src IN (SELECT 1000000 + c_custkey FROM customer WHERE c_name IN ('Customer#000000001', 'Customer#000000004', 'Customer#000000010')))""")
+def g10_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx, frag = _star(spark, sf_dir)
+    entries = [("customer", "Customer#000000001"), (None, "Customer#000000004"), (None, "Customer#000000010")]
+    return G.call_filter(frag.nodes.where("kind = 'order'"), entries, ctx.symbols, ctx.edge_table.where("kind = 'calls'")).select("symbol_id")
+
+
+@query("g10_callers", _EDGES + """, c AS (SELECT src, dst FROM e WHERE kind = 'calls'), one AS (SELECT src AS id FROM c WHERE dst IN (SELECT 10000000000 + p_partkey FROM part WHERE p_name = (SELECT min(p_name) FROM part)))
+SELECT id AS symbol_id FROM node WHERE kind = 'customer' AND id IN (SELECT src FROM c WHERE dst IN (SELECT id FROM one))""")
+def g10_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers within two calls of a part of the first name."""
+    ctx, frag = _star(spark, sf_dir)
+    first = table(spark, sf_dir, "part").agg(F.min("p_name")).first()[0]
+    return G.call_filter(frag.nodes.where("kind = 'customer'"), [("part", first)], ctx.symbols, ctx.edge_table.where("kind = 'calls'"), role="callee", layer=2).select("symbol_id")
 
 
 @query("g6_call_confidence", """WITH m AS (SELECT p_partkey AS symbol_id, p_brand AS owner, p_name AS name FROM part), up(type, parent) AS (SELECT DISTINCT p_brand, 'Brand#' || (1 + (CAST(substring(p_brand, 7) AS INTEGER) % 5)) FROM part),
@@ -547,6 +591,13 @@ def s11_avg_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost.average_degree_frame(ctx).select(F.round("average", 6).alias("average"))
 
 
+@query("s12_edge_estimate", _EDGES + """, d AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id), f AS (SELECT id FROM node ORDER BY id LIMIT 300)
+SELECT CAST(floor(sum(coalesce(n, 0)) * CAST((SELECT count(*) FROM node) AS DOUBLE) / count(*)) AS BIGINT) AS estimate FROM f LEFT JOIN d USING (id)""")
+def s12_edge_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx, _ = _star(spark, sf_dir)
+    return cost.edge_estimate(ctx)
+
+
 @query("s13_lift", _EDGES + """, a AS (SELECT id FROM node WHERE kind = 'nation'), b AS (SELECT id FROM node WHERE kind IN ('supplier', 'part') AND id % 2 = 0),
 x AS (SELECT count(*) AS n FROM (SELECT DISTINCT src, dst FROM e WHERE src IN (SELECT id FROM a) AND dst IN (SELECT id FROM b) UNION SELECT DISTINCT dst, src FROM e WHERE dst IN (SELECT id FROM a) AND src IN (SELECT id FROM b)))
 SELECT round(x.n * 1.0 / ((SELECT count(*) FROM a) * 1.0 * (SELECT count(*) FROM b) * 2.0 * (SELECT count(*) FROM e) / ((SELECT count(*) FROM node) * 1.0 * (SELECT count(*) FROM node))), 6) AS lift FROM x""")
@@ -577,7 +628,6 @@ def p4_plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p6_plan_run")
 def p6_plan_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = documents(spark, sf_dir)
-    ctx = ctx.materialized()
     plan = planner.plan(QuerySpec(units=tuple(UNITS[:2]), limit=30), ctx)
     return S.ranked(plan.run(ctx).current, 30)
 
@@ -671,12 +721,43 @@ def j15_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GR.cosine_top(*A.vectors(spark, sf_dir), 5).select("id", "target_id", F.round("cosine", 6).alias("cosine"), "ord")
 
 
-@query("x10_vector_score", _COSINE + "SELECT id, target_id, score FROM (SELECT id, target_id, round(0.6 * greatest(least((cosine - 0.55) / 0.45, 1), 0), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, target_id) AS ord FROM c) WHERE ord <= 5) WHERE score >= 0.05")
+_SHIFT = 0.09
+
+
+@query("x10_vector_score", f"""WITH v AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x + {_SHIFT}) AS v FROM embeddings), c AS (SELECT q.id, t.id AS target_id, list_cosine_similarity(q.v, t.v) AS cosine FROM v q, v t)
+SELECT id, target_id, score FROM (SELECT id, target_id, round(0.6 * greatest(least((cosine - 0.55) / 0.45, 1), 0), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, target_id) AS ord FROM c) WHERE ord <= 5) WHERE score >= 0.05""")
 def x10_vector_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = GR.cosine_top(*A.vectors(spark, sf_dir), 5)
+    """All vectors against all, moved alike so that near ones pass the floor."""
+    moved = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") + _SHIFT).alias("v"))
+    found = GR.cosine_top(moved, moved, 5)
     return found.select("id", "target_id", GR.vector_score(F.col("cosine")).alias("score")).where("score IS NOT NULL")
 
 
+@query("s28_semantic_neighbours", """WITH t AS (SELECT vec_id AS id, 't' || CAST(vec_id AS VARCHAR) AS term, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT * FROM t WHERE id % 50 = 0),
+c AS (SELECT q.id, t.term, list_cosine_similarity(q.v, t.v) AS cosine FROM q JOIN t ON t.id <> q.id AND t.id <> q.id + 1)
+SELECT id, term, round(greatest(cosine, 0), 6) AS score, ord FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, term) AS ord FROM c) WHERE ord <= 10""")
+def s28_semantic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors whose id 50 divides ask all; a query's own words are itself and the vector after it."""
+    e = table(spark, sf_dir, "embeddings")
+    word = lambda i: F.concat(F.lit("t"), i.cast("string"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    own = asked.select("id", F.explode(F.array(word(F.col("id")), word(F.col("id") + 1))).alias("term"))
+    return M.semantic_neighbours(asked, e.select(word(F.col("vec_id")).alias("term"), F.col("embedding").alias("v")), own)
+
+
+@query("s27_phrase_similarity", """WITH p AS (SELECT p_partkey AS id, unnest([p_partkey % 90, (p_partkey * 7) % 70, 100000 + p_partkey]) AS w FROM part),
+m AS (SELECT id, i, avg(x) AS x FROM (SELECT id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM p JOIN embeddings ON vec_id = w) GROUP BY id, i),
+l AS (SELECT id, list(x ORDER BY i) AS v FROM m GROUP BY id)
+SELECT a.id AS a, b.id AS b, round(greatest(list_cosine_similarity(a.v, b.v), 0), 6) AS similarity FROM l a JOIN l b ON b.id = a.id + 1""")
+def s27_phrase_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as phrases of three words, of which one has no vector; each against the next."""
+    i = F.col("p_partkey").cast("long")
+    phrases = table(spark, sf_dir, "part").select(i.alias("id"), F.transform(F.array(i % 90, (i * 7) % 70, i + 100_000), lambda x: x.cast("string")).alias("words"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("term"), F.col("embedding").alias("v"))
+    following = phrases.select(F.col("id").alias("a")).join(phrases.select((F.col("id") - 1).alias("a"), F.col("id").alias("b")), "a")
+    return M.phrase_similarity(following, phrases, vectors).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("s17_recall", _TOTAL + """, r AS (SELECT symbol_id, row_number() OVER (ORDER BY round(score, 9) DESC, symbol_id) AS rank FROM total), g AS (SELECT doc_id FROM labels WHERE toxic = 1)
 SELECT k, round(count(rank) * 1.0 / (SELECT count(*) FROM g), 6) AS recall FROM (VALUES (10), (30), (100)) t(k) LEFT JOIN (SELECT rank FROM r JOIN g ON g.doc_id = r.symbol_id) x ON rank <= k GROUP BY k""")
 def s17_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -746,9 +827,15 @@ def s20_chain_icf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.chain_icf(ctx.terms.select("term", "df"), ctx.total).select("term", F.round("icf", 6).alias("icf"), "frequent")
 
 
-@query("s19_distinct_degrees", "SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS n_in, count(DISTINCT l_suppkey) AS n_impl FROM lineitem GROUP BY l_partkey")
-def s19_distinct_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count_distinct("l_orderkey").alias("n_in"), F.count_distinct("l_suppkey").alias("n_impl"))
+@query("s19_symbol_degrees", """WITH e AS (SELECT 100000000 + l_orderkey AS src, 10000000000 + l_partkey AS dst, CASE WHEN l_suppkey % 2 = 0 THEN 10000 + l_suppkey END AS impl FROM lineitem),
+i AS (SELECT id, count(DISTINCT src) AS n_in FROM (SELECT dst AS id, src FROM e UNION ALL SELECT impl, src FROM e WHERE impl IS NOT NULL) GROUP BY id), o AS (SELECT src AS id, count(DISTINCT coalesce(impl, dst)) AS n_out FROM e GROUP BY src)
+SELECT coalesce(i.id, o.id) AS symbol_id, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out FROM i FULL JOIN o ON i.id = o.id""")
+def s19_symbol_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders call parts, for which every other supplier stands."""
+    off, null = A.OFFSETS, F.lit(None).cast("long")
+    impl = F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey") + off["supplier"])
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + off["order"]).alias("src"), null.alias("src_impl"), (F.col("l_partkey") + off["part"]).alias("dst"), impl.alias("dst_impl"))
+    return G.symbol_degrees(edges)
 
 
 @query("s21_penalised", "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_tax <= 0.04 AND l_discount <= 0.04 THEN l_quantity / 50 * least((l_tax + l_discount) / 2 / 0.04, 1) ELSE l_quantity / 50 END, 6) AS sim FROM lineitem")
@@ -770,7 +857,8 @@ def s24_include_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s25_quantile", "SELECT o_orderpriority AS k, round(quantile_cont(o_totalprice, 0.4), 4) AS q40, round(quantile_cont(o_totalprice, 0.8), 4) AS q80 FROM orders GROUP BY o_orderpriority")
 def s25_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(F.round(F.percentile("o_totalprice", F.lit(0.4)), 4).alias("q40"), F.round(F.percentile("o_totalprice", F.lit(0.8)), 4).alias("q80"))
+    found = M.quantiles(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", [0.4, 0.8])
+    return found.select(F.col("o_orderpriority").alias("k"), F.round("q40", 4).alias("q40"), F.round("q80", 4).alias("q80"))
 
 
 @query("w7_tiers", "SELECT symbol_id, CASE WHEN r <= greatest(ceil(0.1 * n), 1) THEN 1 WHEN r <= greatest(ceil(0.1 * n), 1) + ceil(0.2 * n) THEN 2 ELSE 3 END AS tier FROM (SELECT p_partkey AS symbol_id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER () AS n FROM part)")
@@ -791,9 +879,18 @@ def x23_chain_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.select("k", F.explode(T.window_corpus(F.col("c"))).alias("s")).groupBy("k", F.array_join("s", " ").alias("line")).agg(F.count("*").alias("n"))
 
 
-@query("x27_condition_terms", """SELECT event_id, list_sort(list_distinct([event_type, CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) >= 0 THEN CAST(json_extract(props, '$.k') AS VARCHAR) END])) AS terms FROM events""")
+@query("x27_condition_terms", """SELECT event_id, [event_type, CAST(user_id AS VARCHAR), 'top', 'more'] AS terms FROM events""")
 def x27_condition_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.array_sort(F.array_distinct(F.array("event_type", F.get_json_object("props", "$.k")))).alias("terms"))
+    """Events as structured queries: included words of three kinds of conditions and of the top level; excluded ones stay out."""
+    item = lambda **fields: F.struct(*[v.alias(k) for k, v in fields.items()])
+    word, user = F.col("event_type"), F.col("user_id").cast("string")
+    conditions = F.struct(
+        F.struct(F.array(item(keywords=F.array(word, F.lit("")), term=word)).alias("include"), F.array(item(keywords=F.array(F.lit("gone")))).alias("exclude")).alias("surface"),
+        F.struct(F.array(item(synonyms=F.array(user, word), other=F.lit("unread"))).alias("include")).alias("intention"),
+        F.struct(F.array(item(term=F.lit("top"))).alias("include")).alias("relation"),
+    )
+    payload = F.to_json(F.struct(conditions.alias("conditions"), F.array(F.lit("top"), F.lit("more")).alias("keywords")))
+    return table(spark, sf_dir, "events").select("event_id", T.condition_terms(payload).alias("terms"))
 
 
 @query("x28_abbr_check", r"SELECT p_partkey, regexp_replace(p_brand, '[^0-9]', '', 'g') = regexp_replace(p_name || p_size % 5, '[^0-9]', '', 'g') AND (regexp_replace(p_brand, '[^A-Za-z]', '', 'g') = '') = (regexp_replace(p_name || p_size % 5, '[^A-Za-z]', '', 'g') = '') AS agrees FROM part")
@@ -808,11 +905,15 @@ def s27_average_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.select(F.col("key").alias("label"), F.round(norm, 5).alias("norm2"), F.size("v").cast("long").alias("dims"))
 
 
-@query("s29_mismatch", DOCS + """, p AS (SELECT DISTINCT symbol_id, term FROM post WHERE field = 'name'), c AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM p a JOIN p b ON a.symbol_id = b.symbol_id AND a.term <> b.term GROUP BY a.term, b.term)
-SELECT a AS term, count(*) AS partners, round(sum(n * icf) / sum(n), 6) AS weight FROM c JOIN terms t ON t.term = c.b GROUP BY a HAVING count(*) >= 3""")
+@query("s29_mismatch", DOCS.rstrip() + """, v AS (SELECT term, icf, CAST(embedding AS DOUBLE[]) AS v FROM (SELECT term, icf, row_number() OVER (ORDER BY df DESC, term) - 1 AS r FROM terms) JOIN embeddings ON vec_id = r),
+p AS (SELECT DISTINCT symbol_id, term FROM post WHERE field = 'name'), c AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM p a JOIN p b ON a.symbol_id = b.symbol_id AND a.term <> b.term GROUP BY a.term, b.term)
+SELECT c.a AS term, count(*) AS partners, round(sum(n * y.icf * list_cosine_similarity(x.v, y.v)) / sum(n * y.icf), 6) AS agreement FROM c JOIN v x ON x.term = c.a JOIN v y ON y.term = c.b GROUP BY c.a HAVING count(*) >= 3 AND sum(n * y.icf) > 0""")
 def s29_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = documents(spark, sf_dir)
-    return M.partner_weights(ctx.postings.where("field = 'name'").select("symbol_id", "term").distinct(), ctx.terms).select("term", "partners", F.round("weight", 6).alias("weight"))
+    """The commonest terms bear the table's vectors, in order."""
+    ctx, e = documents(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    common = I.vocabulary(ctx.terms, e.count()).withColumn("vec_id", F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1)
+    vectors = common.join(e, "vec_id").select("term", F.col("embedding").alias("v"))
+    return M.mismatch(ctx.postings.where("field = 'name'").select("symbol_id", "term").distinct(), ctx.terms, vectors).select("term", "partners", F.round("agreement", 6).alias("agreement"))
 
 
 @query("u7_condition_expression", "SELECT p_partkey AS symbol_id FROM part WHERE (p_type = 'PROMO' AND p_size > 20 OR p_brand = 'Brand#1') AND NOT (p_size % 5 = 0)")
@@ -843,16 +944,27 @@ def _equivalents(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     return G.equivalents(s.select(F.col("s_nationkey").cast("long").alias("abstract"), (F.col("s_suppkey") % 25).alias("impl")))
 
 
-@query("x3_viterbi")
+_COMPOUNDS = "WITH c AS (SELECT p_partkey AS symbol_id, lower(p_name) AS name, replace(lower(p_name), ' ', '') AS term FROM part)\n"
+
+
+def _compounds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Names of parts written as one word, as postings, and their words with counts."""
+    p = table(spark, sf_dir, "part")
+    posted = p.select(F.replace(F.lower("p_name"), F.lit(" "), F.lit("")).alias("term"), F.col("p_partkey").cast("long").alias("symbol_id"), F.lit("name").alias("field"), F.lit(1).cast("long").alias("tf"))
+    words = p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return posted, words
+
+
+@query("x3_viterbi", _COMPOUNDS + "SELECT DISTINCT term, string_split(name, ' ') AS pieces FROM c WHERE length(term) >= 6")
 def x3_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = documents(spark, sf_dir)
-    return T.segmented(ctx.terms, ctx.terms.select("term", F.col("df").alias("n")))
+    posted, words = _compounds(spark, sf_dir)
+    return T.segmented(posted.select("term").distinct(), words)
 
 
-@query("x4_refine")
+@query("x4_refine", _COMPOUNDS + "SELECT term, symbol_id, 'name' AS field, CAST(count(*) AS BIGINT) AS tf FROM (SELECT term, symbol_id FROM c UNION ALL SELECT unnest(string_split(name, ' ')), symbol_id FROM c WHERE length(term) >= 6) GROUP BY term, symbol_id")
 def x4_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = documents(spark, sf_dir)
-    return I.refined(ctx.postings, T.segmented(ctx.terms, ctx.terms.select("term", F.col("df").alias("n"))))
+    posted, words = _compounds(spark, sf_dir)
+    return I.refined(posted, T.segmented(posted.select("term").distinct(), words))
 
 
 @query("x18_fuzzy")
@@ -865,7 +977,7 @@ def x18_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q6_intent_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fragmill.operators.intent import intent
 
-    ctx = documents(spark, sf_dir).materialized()
+    ctx = documents(spark, sf_dir)
     return intent(S.top(working_set(ctx), 60), "weather", ctx).verdicts
 
 
@@ -878,4 +990,4 @@ def p8_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fragmill.plans.script import run_script
 
     text = "a = eval_unit(unit('q', lexical(['thor', 'heit'])))\nb = eval_unit(unit('r', lexical(['oner'])))\nanswer = top((a | b) - only(b, kind='src3'), 15)\n"
-    return S.ranked(run_script(text, documents(spark, sf_dir).materialized()), 15).select("rank", "symbol_id", "kind", "score")
+    return S.ranked(run_script(text, documents(spark, sf_dir)), 15).select("rank", "symbol_id", "kind", "score")

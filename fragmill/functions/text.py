@@ -72,12 +72,43 @@ def window_corpus(chain: Column) -> Column:
     return F.concat(F.array(chain), pairs, pairs, triples, triples, pairs, pairs, pairs)
 
 
+#: Words of a phrase whose subsets are listed: 2**20 of them would be a mistake.
+MOST_WORDS = 16
+
+
 def ordered_subterms(words: Column) -> Column:
-    """All non-empty subsets of up to 12 words, in order, joined by spaces."""
-    n = F.least(F.size(words), F.lit(12))
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), 12) - 1)
-    chosen = F.transform(F.filter(masks, lambda m: m < F.pow(F.lit(2), n)), lambda m: F.array_join(F.filter(words, lambda w, i: F.getbit(m.cast("long"), i) == 1), " "))
-    return F.array_distinct(chosen)
+    """All non-empty subsets of the words, in order, joined by spaces; a phrase of more than ``MOST_WORDS`` words raises."""
+    n = F.size(words)
+    few = F.when(n <= MOST_WORDS, n).otherwise(F.raise_error(F.concat(F.lit("too many words for subsets: "), n.cast("string"))).cast("int"))
+    masks = F.sequence(F.lit(1), F.greatest(F.pow(F.lit(2), few).cast("int") - 1, F.lit(1)))
+    chosen = F.transform(masks, lambda m: F.array_join(F.filter(words, lambda w, i: F.getbit(m.cast("long"), i) == 1), " "))
+    return F.array_distinct(F.filter(chosen, lambda x: x != ""))
+
+
+CONDITIONS, WORDS = ("surface", "intention", "relation"), ("keywords", "synonyms", "term")
+
+
+def condition_terms(payload: Column | str, sides: tuple[str, ...] = ("include",), kinds: tuple[str, ...] = CONDITIONS, fields: tuple[str, ...] = WORDS) -> Column:
+    """Distinct trimmed strings that a structured query (JSON) names, in order.
+
+    First those of its conditions by kind, side, place and field, then those of
+    the fields at the top level.  A field is a string or a list of strings;
+    what is blank or not there gives nothing, and so does a payload that is no
+    object.
+    """
+    none = F.array().cast("array<string>")
+
+    def values(raw: Column) -> Column:
+        """Spark reads a field of either shape as text: a list keeps its brackets."""
+        return F.when(raw.startswith("["), F.coalesce(F.from_json(raw, "array<string>"), none)).when(raw.isNotNull(), F.array(raw)).otherwise(none)
+
+    row = "struct<" + ",".join(f"{f}:string" for f in fields) + ">"
+    side = "struct<" + ",".join(f"{s}:array<{row}>" for s in sides) + ">"
+    parsed = F.from_json(_col(payload), "conditions struct<" + ",".join(f"{k}:{side}" for k in kinds) + ">," + ",".join(f"{f} string" for f in fields))
+    rows = F.array().cast(f"array<{row}>")
+    found = [F.flatten(F.transform(F.coalesce(parsed["conditions"][k][s], rows), lambda x: F.concat(*[values(x[f]) for f in fields]))) for k in kinds for s in sides]
+    found += [values(parsed[f]) for f in fields]
+    return F.array_distinct(F.filter(F.transform(F.concat(*found), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def segment(token: str, cost: Mapping[str, float], longest: int) -> tuple[str, ...]:

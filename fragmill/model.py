@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import zlib
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
@@ -56,6 +57,8 @@ class Context:
     icf_floor: float = ICF_FLOOR
     min_hit_score: float = MIN_HIT_SCORE
     total_override: int | None = None
+    #: Number of term buckets that postings and stats are partitioned by (column bucket), if they are.
+    buckets: int | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -80,6 +83,12 @@ class Context:
         stats = self.stats if self.stats is not None else cut(posted.groupBy("term").agg(F.count_distinct("symbol_id").alias("df")))
         return replace(self, postings=posted, stats=stats, total_override=self.total)
 
+    def about(self, table: DataFrame, terms: Sequence[str]) -> DataFrame:
+        """Rows of postings or statistics for these terms; of a bucketed index only their buckets are read."""
+        if self.buckets and "bucket" in table.columns:
+            table = table.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % self.buckets for t in terms}) or [-1]))
+        return table.where(F.col("term").isin(sorted(set(terms))))
+
     @cached_property
     def edge_table(self) -> DataFrame:
         return self.edges if self.edges is not None else self.spark.createDataFrame([], EDGES)

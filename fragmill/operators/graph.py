@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragmill.model import Context
@@ -190,8 +190,14 @@ def implementations(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select(*edges.columns, F.when(F.col("n") == 1, F.col("impl")).alias("impl"), F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("none").alias("how"))
 
 
-def directed_reach(starts: DataFrame, edges: DataFrame, *, backward: bool = False, max_depth: int | None = None, exact_depth: int | None = None) -> DataFrame:
-    """symbol_id and depth (1 up) reachable over edges, where a resolved implementation stands for its abstract end."""
+def directed_reach(starts: DataFrame, edges: DataFrame, *, backward: bool = False, max_depth: int | None = None, exact_depth: int | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """symbol_id and depth (1 up) reachable over edges, where a resolved implementation stands for its abstract end.
+
+    With ``classes(id, comp)`` the starts bring all that they are one with.
+    """
+    if classes is not None:
+        comps = classes.join(starts.select("symbol_id"), F.col("id") == F.col("symbol_id")).select("comp").distinct()
+        starts = starts.select("symbol_id").unionByName(classes.join(comps, "comp").select(F.col("id").alias("symbol_id")))
     ends = F.coalesce("impl", "dst") if "impl" in edges.columns else F.col("dst")
     pairs = edges.select(*((ends.alias("a"), F.col("src").alias("b")) if backward else (F.col("src").alias("a"), ends.alias("b"))))
     high = exact_depth or max_depth
@@ -228,6 +234,79 @@ def graph_roles(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select("symbol_id", F.when((i == 0) & (o > 0), "entry_point").when((i > 0) & (o == 0), "leaf").when((i == 0) & (o == 0), "isolate").otherwise("inner").alias("role"))
 
 
+def implementation_pairs(pairs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """abstract, impl, their names and unique (the abstract one has no other implementation) of ``pairs(abstract, impl)`` whose ends ``symbols(symbol_id, name)`` has."""
+    names = symbols.select("symbol_id", "name")
+    known = pairs.distinct().join(names.toDF("abstract", "abstract_name"), "abstract").join(names.toDF("impl", "impl_name"), "impl")
+    single = pairs.distinct().groupBy("abstract").agg(F.count("*").alias("n")).where("n = 1").select("abstract", F.lit(True).alias("unique"))
+    return known.join(single, "abstract", "left").select("abstract", "impl", "abstract_name", "impl_name", F.coalesce("unique", F.lit(False)).alias("unique"))
+
+
+def trusted_pairs(pairs: DataFrame, symbols: DataFrame, name: str | None = None) -> DataFrame:
+    """Pairs that make their ends one: the only implementation always, one of several where both ends bear one name (and ``name``, if given)."""
+    same = F.col("abstract_name") == F.col("impl_name")
+    same = same if name is None else same & (F.col("impl_name") == name)
+    return implementation_pairs(pairs, symbols).where(F.col("unique") | same).select("abstract", "impl")
+
+
+def symbol_degrees(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """symbol_id, n_in and n_out of ``edges(src, src_impl, dst, dst_impl)``: distinct symbols at the other end, an implementation standing for its abstract one.
+
+    An edge touches a symbol by either id of its end.  Symbols of one class of
+    ``classes(id, comp)`` share their edges.
+    """
+
+    def side(own: str, other: str, name: str) -> DataFrame:
+        ends = edges.select(F.explode(F.array_distinct(F.array_compact(F.array(own, f"{own}_impl")))).alias("id"), F.coalesce(f"{other}_impl", other).alias("other"))
+        if classes is not None:
+            ends = ends.join(classes.select("id", "comp"), "id", "left").select(F.coalesce("comp", "id").alias("id"), "other")
+        return ends.groupBy("id").agg(F.count_distinct("other").alias(name))
+
+    both = side("dst", "src", "n_in").join(side("src", "dst", "n_out"), "id", "full").fillna(0, ["n_in", "n_out"])
+    if classes is None:
+        return both.withColumnRenamed("id", "symbol_id")
+    members = classes.select(F.col("id").alias("symbol_id"), F.col("comp").alias("id"))
+    alone = both.join(classes.select("id"), "id", "left_anti").select(F.col("id").alias("symbol_id"), "n_in", "n_out")
+    return members.join(both, "id").select("symbol_id", "n_in", "n_out").unionByName(alone)
+
+
+def anchors(symbols: DataFrame, entries: Sequence[tuple[str | None, str]]) -> list[DataFrame] | None:
+    """The symbols that each (file, name) means, any file if that is None; None if one of them means nothing."""
+    found = []
+    for file, name in entries:
+        own = symbols.where(F.col("name") == name)
+        if file is not None:
+            own = own.where((F.col("file") == file) | F.col("file").endswith("/" + file))
+        own = own.select("symbol_id")
+        if own.isEmpty():
+            return None
+        found.append(own)
+    return found
+
+
+def call_filter(candidates: DataFrame, entries: Sequence[tuple[str | None, str]], symbols: DataFrame, edges: DataFrame, *, role: str = "caller", layer: int | None = 1, pairs: DataFrame | None = None) -> DataFrame | None:
+    """Candidates that an anchor calls (role caller) or that call it (callee) within ``layer`` calls, or None if an anchor is unknown.
+
+    What implements one another, by ``pairs(abstract, impl)``, stands for one
+    another among the candidates, and among the starts of an anchor without a
+    file.
+    """
+    if role not in ("caller", "callee"):
+        raise ValueError(f"unknown role {role!r}")
+    starts = anchors(symbols, entries)
+    if starts is None:
+        return None
+    reached = None
+    for (file, name), own in zip(entries, starts, strict=True):
+        classes = None if pairs is None else equivalents(trusted_pairs(pairs, symbols, name))
+        now = directed_reach(own, edges, backward=role == "callee", max_depth=layer, classes=classes if file is None else None).select("symbol_id")
+        if classes is not None:
+            comps = classes.join(now, classes.id == now.symbol_id).select("comp").distinct()
+            now = now.unionByName(classes.join(comps, "comp").select(F.col("id").alias("symbol_id")))
+        reached = now if reached is None else reached.unionByName(now)
+    return candidates if reached is None else candidates.join(reached.distinct(), "symbol_id", "left_semi")
+
+
 def equivalents(pairs: DataFrame) -> DataFrame:
     """id and comp: classes of symbols that implement one another, by ``pairs(abstract, impl)``."""
     edges = cut(pairs.select(F.greatest("abstract", "impl").alias("a"), F.least("abstract", "impl").alias("b")).where("a <> b").distinct())
@@ -241,24 +320,23 @@ def equivalents(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def call_chains(edges: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:
-    """Root-to-leaf chains of names; a name that repeats ends its chain, as does ``most`` names."""
-    pairs = edges.select("src", "dst").distinct()
+def call_chains(edges: DataFrame, names: DataFrame, most: int | None = None) -> DataFrame:
+    """Root-to-leaf chains of names; a name that repeats ends its chain.
+
+    Chains of more than ``most`` names are refused, where that is given, not
+    cut.  A chain has no name twice, so the levels end.
+    """
+    pairs = cut(edges.select("src", "dst").distinct())
     roots = pairs.select(F.col("src").alias("symbol_id")).distinct().join(pairs.select(F.col("dst").alias("symbol_id")), "symbol_id", "left_anti")
     named = names.select(F.col("symbol_id").alias("id"), "name")
-    now = roots.join(named, F.col("symbol_id") == F.col("id")).select("symbol_id", F.array("name").alias("chain"))
-    done = None
-    for _ in range(most - 1):
-        nxt = now.join(pairs, now.symbol_id == pairs.src, "left").join(named, F.col("dst") == F.col("id"), "left")
+    now = cut(roots.join(named, F.col("symbol_id") == F.col("id")).select("symbol_id", F.array("name").alias("chain")))
+    done, level = now.select("chain").limit(0), 1
+    while not now.isEmpty():
+        nxt = cut(now.join(pairs, now.symbol_id == pairs.src, "left").join(named, F.col("dst") == F.col("id"), "left").select("dst", "chain", "name"))
         grows = F.col("name").isNotNull() & ~F.array_contains("chain", F.coalesce("name", F.lit("")))
-        ended = nxt.where(~grows).select("chain")
-        done = ended if done is None else done.unionByName(ended)
+        done = done.unionByName(nxt.where(~grows).select("chain"))
         now = nxt.where(grows).select(F.col("dst").alias("symbol_id"), F.concat("chain", F.array("name")).alias("chain"))
-    done = now.select("chain") if done is None else done.unionByName(now.select("chain"))
+        level += 1
+        if most is not None and level > most and not now.isEmpty():
+            raise ValueError(f"a chain of more than {most} names")
     return done.distinct()
-
-
-def container_spans(symbols: DataFrame) -> DataFrame:
-    """Containers in order of their first member, with member counts."""
-    order = Window.orderBy("first_id")
-    return symbols.groupBy("container").agg(F.min("symbol_id").alias("first_id"), F.count("*").alias("members")).withColumn("n", F.row_number().over(order))

@@ -39,13 +39,23 @@ def lexical_pairs(words: DataFrame, targets: DataFrame) -> DataFrame:
     prefix = stems.join(short, F.col("stem") == F.col("target")).select("key", "target", F.lit(1).alias("rule"))
     bones = short.select("target", T.skeleton("target").alias("bone"))
     abbrev = long.select("key", T.skeleton("key").alias("b")).join(bones, F.col("b") == F.col("bone")).where(longer).select("key", "target", F.lit(2).alias("rule"))
-    small = short.where(F.length("target") <= LONGEST_SUBSEQ).select("target", F.substr("target", F.lit(1), F.lit(1)).alias("initial"))
-    subseq = long.select("key", F.substr("key", F.lit(1), F.lit(1)).alias("i")).join(small, F.col("i") == F.col("initial")).where(longer & (F.length("key") <= LENGTH_RATIO * F.length("target")) & T.is_subsequence(F.col("target"), F.col("key"))).select("key", "target", F.lit(3).alias("rule"))
+    # Long words of at most 15 letters list their own subsequences with the same first letter, so these meet in an equi-join too.
+    small = short.where(F.length("target") <= LONGEST_SUBSEQ)
+    inner = long.where(F.length("key") <= LENGTH_RATIO * LONGEST_SUBSEQ).select("key", F.explode(short_subsequences("key")).alias("target"))
+    subseq = inner.join(small, "target").select("key", "target", F.lit(3).alias("rule"))
     best = prefix.unionByName(abbrev).unionByName(subseq).groupBy("key", "target").agg(F.min("rule").alias("rule"))
     score = F.when(F.col("rule") == 1, PREFIX).when(F.col("rule") == 2, ABBREV).otherwise(SUBSEQ)
     return best.select("key", "target", score.alias("score"), F.when(F.col("rule") == 1, "prefix").when(F.col("rule") == 2, "abbrev").otherwise("subseq").alias("reason"))
 
 
+def short_subsequences(word: str) -> Column:
+    """The distinct subsequences of 3 to 5 letters that keep the first letter and that the word is longer than, but at most three times as long."""
+    letters, n = F.split(F.col(word), ""), F.length(word)
+    masks = F.sequence(F.lit(0), F.shiftleft(F.lit(1), 14) - 1)
+    masks = F.filter(F.slice(masks, 1, F.pow(F.lit(2), n - 1).cast("int")), lambda m: F.bit_count(m).between(SHORTEST - 1, LONGEST_SUBSEQ - 1) & (F.bit_count(m) + 1 < n) & (n <= LENGTH_RATIO * (F.bit_count(m) + 1)))
+    return F.array_distinct(F.transform(masks, lambda m: F.array_join(F.filter(letters, lambda _, i: (i == 0) | (F.getbit(m.cast("long"), F.greatest(i - 1, F.lit(0))) == 1)), "")))
+
+
 def top_targets(pairs: DataFrame, k: int = MAX_TARGETS) -> DataFrame:
     """The k best targets of each key, in order (ord from 1); ties go by name."""
     order = Window.partitionBy("key").orderBy(F.desc("score"), "target")
@@ -58,44 +68,51 @@ def vector_score(cosine: Column) -> Column:
     return F.when(scaled >= VECTOR_LEAST, scaled)
 
 
-def cosine_top(queries: DataFrame, targets: DataFrame, k: int, *, most_targets: int = 1_000_000, block: int = 4096) -> DataFrame:
+def cosine_top(queries: DataFrame, targets: DataFrame, k: int, *, block: int = 4096, probes: int = 8192) -> DataFrame:
     """id, target_id, cosine and ord: the k nearest of ``targets(id, v)`` to each of ``queries(id, v)``, exactly.
 
-    Targets are a vocabulary's vectors: their number is checked, and blocks of
-    them are broadcast one at a time; each block's best k meet in a grouped
-    top k.
+    Blocks of about ``block`` targets meet parts of about ``probes`` queries in
+    executors; each pair of a block and a part gives every query its best k
+    there, and these meet in a grouped top k.  No vector comes to the driver.
+    Vectors of either side that repeat an id count one by one.
     """
-    rows = targets.count()
-    if rows > most_targets:
-        raise ValueError(f"more than {most_targets} targets; search a vocabulary, not a corpus")
-    spark, parts = queries.sparkSession, max(1, -(-rows // block))
-    numbered = targets.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-    out = None
-    for part in range(parts):
-        found = numbered.where(F.col("part") == part).select("id", "v").orderBy("id").toPandas()
-        if not len(found):
-            continue
-        ids = found["id"].to_numpy()
-        matrix = np.stack(found["v"].to_list()).astype(np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        held = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, matrix = held.value
-            for batch in batches:
-                if not batch.num_rows:
+    blocks, parts = max(1, -(-targets.count() // block)), max(1, -(-queries.count() // probes))
+    place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = F.col("v").cast("array<double>").alias("v")
+    held = targets.select(place("target", blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("side"), "id", v)
+    asked = queries.select(every(blocks).alias("block"), place("query", parts).alias("part"), F.lit(1).alias("side"), "id", v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block, part and side: a pair's targets first."""
+        key, ids, rows, matrix = None, [], [], np.zeros((0, 0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "part", "side")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                piece = batch.slice(i, j - i)
+                own = piece.column("id").to_numpy()
+                x = piece.column("v").flatten().to_numpy().reshape(j - i, -1)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                if tuple(keys[i, :2]) != key:
+                    key, ids, rows, matrix = tuple(keys[i, :2]), [], [], np.zeros((0, x.shape[1]))
+                if keys[i, 2] == 0:
+                    ids.append(own)
+                    rows.append(x)
                     continue
-                q = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-                cosine = q @ matrix.T
-                own = batch.column("id").to_numpy()
-                order = np.lexsort((np.broadcast_to(ids, cosine.shape), -np.round(cosine, 9)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(cosine, order, 1).ravel())], names=["id", "target_id", "cosine"])
-
-        best = queries.select("id", "v").mapInArrow(run, "id long, target_id long, cosine double")
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        return spark.createDataFrame([], "id long, target_id long, cosine double, ord int")
+                if rows:
+                    matrix, rows = np.concatenate(rows), []
+                    names = np.concatenate(ids)
+                if not len(matrix):
+                    continue
+                for at in range(0, len(x), 1024):
+                    cosine = x[at : at + 1024] @ matrix.T
+                    order = np.lexsort((np.broadcast_to(names, cosine.shape), -np.round(cosine, 9)), axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[at : at + 1024], order.shape[1])), pa.array(names[order].ravel()), pa.array(np.take_along_axis(cosine, order, 1).ravel())], names=["id", "target_id", "cosine"])
+
+    out = held.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", "side").mapInArrow(run, "id long, target_id long, cosine double")
     order = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "target_id")
     return out.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= k)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragmill.model import Context
@@ -122,12 +122,65 @@ def mean_vectors(rows: DataFrame) -> DataFrame:
     return spread.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
 
 
-def partner_weights(rows: DataFrame, stats: DataFrame, least: int = 3) -> DataFrame:
-    """term, its number of co-occurring terms and their mean icf by count, of ``rows(symbol_id, term)``.
+def quantiles(rows: DataFrame, key: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """key and one column (q40 for 0.4) for each share: exact quantiles with linear interpolation."""
+    return rows.groupBy(key).agg(*[F.percentile(value, F.lit(q)).alias(f"q{round(100 * q)}") for q in shares])
 
-    Names are short, so a symbol's terms are a small array.
+
+def cosine(a: Column, b: Column) -> Column:
+    """Of two arrays of one length; 0 if either has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, z: s + z)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+
+
+def co_occurrences(rows: DataFrame) -> DataFrame:
+    """term, other and n: in how many entries of ``rows(symbol_id, term)`` two terms stand together.
+
+    Entries are names, and so small arrays; pairs form inside a row.
     """
     sets = rows.groupBy("symbol_id").agg(F.collect_set("term").alias("ts"))
-    pairs = sets.select(F.explode("ts").alias("term"), "ts").select("term", F.explode("ts").alias("other")).where("term <> other").groupBy("term", "other").agg(F.count("*").alias("n"))
-    joined = pairs.join(stats.select(F.col("term").alias("other"), "icf"), "other")
-    return joined.groupBy("term").agg(F.count("*").alias("partners"), (F.sum(F.col("n") * F.col("icf")) / F.sum("n")).alias("weight")).where(F.col("partners") >= least)
+    return sets.select(F.explode("ts").alias("term"), "ts").select("term", F.explode("ts").alias("other")).where("term <> other").groupBy("term", "other").agg(F.count("*").alias("n"))
+
+
+def mismatch(rows: DataFrame, stats: DataFrame, vectors: DataFrame, least: int = 3) -> DataFrame:
+    """term, partners and agreement: how a term's vector agrees with its use in ``rows(symbol_id, term)``.
+
+    The agreement is the mean cosine to the partners that have a vector,
+    weighted by how often they stand together and by the partner's icf in
+    ``stats(term, icf)``; fewer than ``least`` partners, or no weight, say nothing.
+    """
+    known = vectors.select("term", "v")
+    pairs = co_occurrences(rows).join(known.toDF("other", "b"), "other").join(known.toDF("term", "a"), "term")
+    pairs = pairs.join(stats.select(F.col("term").alias("other"), "icf"), "other", "left").withColumn("w", F.col("n") * F.coalesce("icf", F.lit(0.0)))
+    own = pairs.groupBy("term").agg(F.count("*").alias("partners"), F.sum(F.col("w") * cosine(F.col("a"), F.col("b"))).alias("s"), F.sum("w").alias("w"))
+    return own.where((F.col("partners") >= least) & (F.col("w") > 0)).select("term", "partners", (F.col("s") / F.col("w")).alias("agreement"))
+
+
+def phrase_vectors(phrases: DataFrame, vectors: DataFrame) -> DataFrame:
+    """id and v, the mean of the vectors of a phrase's words, of ``phrases(id, words)``; words without a vector do not count, phrases of none vanish."""
+    words = phrases.select("id", F.explode("words").alias("term")).join(vectors.select("term", "v"), "term")
+    return mean_vectors(words.select(F.col("id").alias("key"), "v")).withColumnRenamed("key", "id")
+
+
+def phrase_similarity(pairs: DataFrame, phrases: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` of phrase ids with similarity: the cosine of their mean vectors, 0 at least, and 0 where one has none."""
+    means = phrase_vectors(phrases, vectors)
+    out = pairs.join(means.toDF("a", "va"), "a", "left").join(means.toDF("b", "vb"), "b", "left")
+    return out.select("a", "b", F.greatest(F.coalesce(cosine(F.col("va"), F.col("vb")), F.lit(0.0)), F.lit(0.0)).alias("similarity"))
+
+
+def semantic_neighbours(queries: DataFrame, vectors: DataFrame, excluded: DataFrame, k: int = 10) -> DataFrame:
+    """id, term, score and ord: the k nearest terms of ``vectors(term, v)`` to each of ``queries(id, v)``, without its own ``excluded(id, term)``.
+
+    As many more are looked for as a query excludes at most, so none is lost.
+    """
+    from fragmill.operators.grounding import cosine_top
+
+    numbered = vectors.select("term", "v").withColumn("number", F.xxhash64("term"))
+    most = excluded.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    near = cosine_top(queries.select("id", "v"), numbered.select(F.col("number").alias("id"), "v"), k + most).select("id", F.col("target_id").alias("number"), "cosine")
+    named = near.join(numbered.select("number", "term"), "number").join(excluded.select("id", "term"), ["id", "term"], "left_anti")
+    order = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "term")
+    best = named.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= k)
+    return best.select("id", "term", F.round(F.greatest("cosine", F.lit(0.0)), 6).alias("score"), "ord")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fragmill.model import Context, field_weight
 from fragmill.operators.combine import COMBINERS, combine
+from fragmill.session import maybe_broadcast
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,9 @@ class QueryUnit:
                 raise TypeError(f"{type(s).__name__} is no satisfier")
 
 
+#: Surfaces of a query whose terms are pushed into the scan; beyond them the join alone selects.
+MOST_SURFACES = 10_000
+
 _PROBES = "unit string, satisfier int, signal string, weight double, term string, term_weight double, fields array<string>"
 
 
@@ -106,13 +110,17 @@ def term_hits(units: Sequence[QueryUnit], ctx: Context) -> DataFrame:
     """All hits of all units: surfaces to statistics to postings, multiplied and floored.
 
     A surface the caller asked for is never dropped for being common; an
-    expansion is, below the floor.  The broadcast side is the query's.
+    expansion is, below the floor.  The query's surfaces come to the driver, so
+    that an index in term buckets is read in theirs alone; they are broadcast
+    if there are few, as there are but for closures of general words.
     """
-    looked = F.broadcast(surfaces(units, ctx))
-    known = ctx.terms.select(F.col("term").alias("known"), "icf_ratio")
-    stats = known.join(looked, F.col("known") == F.col("surface")).drop("known").where((F.col("reason") == "exact") | (F.col("icf_ratio") >= ctx.icf_floor))
-    posted = ctx.postings.select(F.col("term").alias("posted"), "symbol_id", "field")
-    hits = posted.join(F.broadcast(stats), F.col("posted") == F.col("surface"))
+    looked = surfaces(units, ctx)
+    words = [r.surface for r in looked.select("surface").distinct().limit(MOST_SURFACES + 1).collect()]
+    own = (lambda table: ctx.about(table, words)) if len(words) <= MOST_SURFACES else (lambda table: table)
+    known = own(ctx.terms).select(F.col("term").alias("known"), "icf_ratio")
+    stats = maybe_broadcast(known.join(maybe_broadcast(looked), F.col("known") == F.col("surface")).drop("known").where((F.col("reason") == "exact") | (F.col("icf_ratio") >= ctx.icf_floor)))
+    posted = own(ctx.postings).select(F.col("term").alias("posted"), "symbol_id", "field")
+    hits = posted.join(stats, F.col("posted") == F.col("surface"))
     hits = hits.where(F.col("fields").isNull() | F.array_contains("fields", F.col("field")))
     score = F.col("weight") * F.col("term_weight") * F.col("surface_score") * field_weight(F.col("field"), ctx.weights) * F.col("icf_ratio")
     detail = F.when(F.col("reason") == "exact", F.col("term")).otherwise(F.concat("surface", F.lit("←"), "term", F.lit("("), "reason", F.lit(")")))

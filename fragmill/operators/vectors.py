@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +23,18 @@ def vocabulary_plan(terms: DataFrame, protected: DataFrame, dim: int, budget_mb:
     The cut is the df and name of the last row that fits, found by top-k.
     """
     fits = max(int(budget_mb * 1e6 // (dim * ROW_BYTES * OVERHEAD)), 0)
+    kept = terms.join(protected.select("term").distinct(), "term", "left_semi").count()
+    if kept > fits:
+        raise ValueError(f"{kept} protected terms need more than the budget, which holds {fits}")
     marked = terms.join(protected.select("term", F.lit(0).alias("__p")).distinct(), "term", "left").withColumn("__p", F.coalesce("__p", F.lit(1)))
     return marked.orderBy("__p", F.desc("df"), "term").limit(fits).drop("__p")
 
 
 def seeded_normal(term: str, dim: int) -> list[float]:
-    """The same vector for a term everywhere, from a digest of it."""
+    """The same vector of length 1 for a term everywhere, from a digest of it."""
     seed = int.from_bytes(hashlib.sha256(term.encode()).digest()[:8], "big")
-    return np.random.default_rng(seed).normal(0, 0.1, dim).tolist()
+    v = np.random.default_rng(seed).normal(0, 1, dim)
+    return (v / np.linalg.norm(v)).tolist()
 
 
 def initial_vectors(terms: DataFrame, known: DataFrame, pieces: DataFrame, dim: int) -> DataFrame:
@@ -41,12 +47,17 @@ def initial_vectors(terms: DataFrame, known: DataFrame, pieces: DataFrame, dim:
     rows = exact.join(lower, F.lower("term") == F.col("low"), "left").drop("low")
     parts = pieces.select("term", F.explode("pieces").alias("piece")).join(known.select(F.col("term").alias("piece"), "v"), "piece")
     means = parts.select("term", F.posexplode("v").alias("i", "x")).groupBy("term", "i").agg(F.avg("x").alias("m")).groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("components"))
-    seeded = F.udf(lambda t: seeded_normal(t, dim), "array<double>")
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [seeded_normal(t or "", dim) for t in batch.column("term").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(made, pa.list_(pa.float64())), batch.column("origin")], names=["term", "v", "origin"])
+
     rows = rows.join(means, "term", "left")
     origin = F.when(F.col("exact").isNotNull(), "exact").when(F.col("canonical").isNotNull(), "canonical").when(F.col("components").isNotNull(), "components").otherwise("seeded")
     found = rows.select("term", F.coalesce(F.col("exact").cast("array<double>"), F.col("canonical").cast("array<double>"), "components").alias("v"), origin.alias("origin"))
     # Only what no rung of the ladder reached goes to a Python worker.
-    return found.where("v IS NOT NULL").unionByName(found.where("v IS NULL").select("term", seeded("term").alias("v"), "origin"))
+    return found.where("v IS NOT NULL").unionByName(found.where("v IS NULL").select("term", "origin").mapInArrow(seeded, "term string, v array<double>, origin string"))
 
 
 def train(sentences: DataFrame, dim: int = 100, window: int = 5, least: int = 2, seed: int = 1) -> DataFrame:

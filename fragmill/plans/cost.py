@@ -13,7 +13,7 @@ from fragmill.operators.select import degrees
 from fragmill.operators.units import QueryUnit, surfaces
 
 # Fixed values of the cost model.
-INTENT_COST, INTENT_PASS, FALLBACK_DEGREE, DEGREE_SAMPLE = 5000.0, 0.5, 4.0, 200
+INTENT_COST, INTENT_PASS, FALLBACK_DEGREE, DEGREE_SAMPLE, EDGE_SAMPLE = 5000.0, 0.5, 4.0, 200, 300
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,14 @@ def average_degree_frame(ctx: Context, sample: int = DEGREE_SAMPLE) -> DataFrame
     return n.agg(F.greatest(F.avg("n"), F.lit(1.0)).alias("average"))
 
 
+def edge_estimate(ctx: Context, sample: int = EDGE_SAMPLE) -> DataFrame:
+    """estimate: about how many edge ends the graph has, from the degrees of the first ``sample`` symbols by id; 0 without symbols."""
+    first = ctx.symbols.select("symbol_id").orderBy("symbol_id").limit(sample)
+    ends = first.join(degrees(ctx.edge_table.select("src", "dst", "kind")), "symbol_id", "left").select((F.coalesce("n_in", F.lit(0)) + F.coalesce("n_out", F.lit(0))).alias("n"))
+    seen = ends.agg(F.sum("n").alias("seen"), F.count("*").alias("checked"))
+    return seen.select(F.when(F.col("checked") > 0, F.floor(F.col("seen") * float(ctx.total) / F.col("checked"))).otherwise(0).cast("long").alias("estimate"))
+
+
 def average_degree(ctx: Context) -> float:
     found = average_degree_frame(ctx).first()
     return found.average if found and found.average is not None else FALLBACK_DEGREE

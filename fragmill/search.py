@@ -6,6 +6,8 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from fragmill.model import Context
@@ -74,7 +76,9 @@ def search(query: str, ctx: Context, *, route: str = "lexical", limit: int = 30,
             spec, doubts = build_spec(query, known.pop("terms"), ctx, limit=limit, **known)
             frag = plan(spec, ctx).run(ctx).current
             return SearchResult(hits_of(frag, limit), frag, route, doubts)
-    except Exception as e:  # any failure of a route degrades to the lexical one, and says so
+    except (PySparkException, Py4JError):  # a job that failed is no answer
+        raise
+    except Exception as e:  # a port or a script that fails degrades to the lexical route, and says so
         notes.append(f"{route} route failed: {type(e).__name__}: {e}")
     if route != "lexical" and not notes:
         notes.append(f"no port for the {route} route")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +16,20 @@ BROADCAST_ROWS = 100_000
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
     """A session for one machine; on a cluster the caller brings their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("fragmill")
-    defaults = {"spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g"}
+    defaults = {"spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint, in the session's ``spark.checkpoint.dir`` where that is set."""
+    """The same rows from a reliable checkpoint in the session's ``spark.checkpoint.dir``; a folder of our own serves one machine only."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fragmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fragmill-"))
     return df.checkpoint()
 
 

@@ -42,7 +42,7 @@ def save(path: str, parts: dict[str, DataFrame], meta: dict) -> dict:
     counts = {}
     for name, df in parts.items():
         if "term" in df.columns:
-            df = df.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "term")
+            df = df.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % TERM_BUCKETS).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "term")
             df.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -61,5 +61,4 @@ def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
 
 def context(spark: SparkSession, path: str) -> Context:
     parts, meta = load(spark, path)
-    drop = lambda name: parts[name].drop("bucket") if name in parts else None
-    return Context(parts["symbols"], drop("postings"), edges=parts.get("edges"), expansion=parts.get("expansion"), stats=drop("stats"), total_override=meta["counts"]["symbols"])
+    return Context(parts["symbols"], parts["postings"], edges=parts.get("edges"), expansion=parts.get("expansion"), stats=parts.get("stats"), total_override=meta["counts"]["symbols"], buckets=TERM_BUCKETS)

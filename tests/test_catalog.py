@@ -20,7 +20,7 @@ def test_query(spark, con, name):
     if name in catalog.ORACLE:
         assert rows_of(df.toPandas()) == rows_of(con.execute(catalog.ORACLE[name]).df())
     else:
-        assert df.count() >= 0
+        assert df.count() > 0
 
 
 def test_entry_points(spark):

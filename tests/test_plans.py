@@ -65,7 +65,11 @@ def test_specs():
         QuerySpec(())
     with pytest.raises(ValueError):
         QuerySpec(units("a"), (GraphConstraint("a", "b"),))
-    spec = QuerySpec.from_dict({"units": [{"name": "a", "terms": ["x", 3]}, {"terms": ["y"]}, 7, {"name": "b", "modifiers": ["static"]}], "graph": [{"src": "a", "dst": "b", "hops": [3, 1]}, {"src": "a", "dst": "z"}], "kinds": ["class"], "limit": -1})
+    spec = QuerySpec.from_dict({"units": [{"name": "a", "terms": ["X", 3]}, {"name": "b", "modifiers": ["static"]}], "graph": [{"src": "a", "dst": "b", "hops": [3, 1], "edge": ["contains"]}, {"src": "a"}, 5], "kinds": "class", "limit": -1})
+    assert spec.graph[0].edge == ("contains",) and spec.units[0].satisfiers[0].terms == ["x"]
+    for bad in ({"units": []}, {"units": [{"name": "a"}]}, {"units": [7]}, {"units": [{"terms": ["y"]}]}, {"units": [{"name": "a", "terms": ["x"]}, {"name": "a", "terms": ["y"]}]}, {"units": [{"name": "a", "terms": ["x"]}], "graph": [{"src": "a", "dst": "z"}]}):
+        with pytest.raises(ValueError):
+            QuerySpec.from_dict(bad)
     assert [u.name for u in spec.units] == ["a", "b"] and spec.graph[0].hops == (1, 3) and spec.limit is None
     assert "interface" in spec.kinds
     assert [hops_of(x) for x in ([], [2], 3, "x", [5, 2], -1)] == [(1, 2), (1, 2), (3, 3), (1, 2), (2, 5), (1, 2)]
