@@ -2,10 +2,8 @@
 
 Scores are rounded to six places on both sides, as products of floats depend
 on their order.  Queries read whole tables; limits stand only where the
-operator is a top-k.  ``x12_meta_closure``, ``j8_range_match``,
-``j11_impl_resolution`` and ``j10_equivalents`` take a subset of ids, as their
-SQL twins do; the queries of these names with ``_all`` take every row, have no
-SQL and are held against brute force.
+operator is a top-k.  Searches over the graph start from all nodes of a kind
+(nations, suppliers), or from customers and parts whose id is divisible by 50.
 """
 
 from __future__ import annotations
@@ -399,9 +397,9 @@ def _reach_sql(step: str, hops: tuple[int, int], seeds: str, where: str) -> str:
 
 _FWD, _BACK = "SELECT src AS a, dst AS b FROM e WHERE {where}", "SELECT dst AS a, src AS b FROM e WHERE {where}"
 for _name, _direction, _hops, _seeds, _kinds, _conf in (
-    ("g1_reach_fwd", "forward", (1, 3), "kind = 'nation' AND {id} % 5 = 0", ("calls", "contains"), 0.0),
-    ("g1_reach_back", "backward", (2, 3), "kind = 'part' AND {id} % 97 = 0", ("calls", "contains"), 0.0),
-    ("g1_reach_any", "any", (1, 2), "kind = 'supplier' AND {id} % 7 = 0", None, 0.0),
+    ("g1_reach_fwd", "forward", (1, 3), "kind = 'nation'", ("calls", "contains"), 0.0),
+    ("g1_reach_back", "backward", (2, 3), "kind = 'part' AND {id} % 50 = 0", ("calls", "contains"), 0.0),
+    ("g1_reach_any", "any", (1, 2), "kind = 'supplier'", None, 0.0),
     ("g1_reach_confidence", "forward", (0, 1), "kind = 'order' AND {id} % 50 = 0", "calls", 0.95),
 ):
     _where = ("true" if _kinds is None else f"kind IN ({', '.join(repr(k) for k in ([_kinds] if isinstance(_kinds, str) else _kinds))})") + f" AND confidence >= {_conf}"
@@ -412,7 +410,7 @@ for _name, _direction, _hops, _seeds, _kinds, _conf in (
 def _paths(**options: object) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ctx, frag = _star(spark, sf_dir)
-        src, dst = frag.nodes.where("kind = 'customer' AND symbol_id % 5 = 0"), frag.nodes.where("kind = 'part' AND symbol_id % 20 = 0")
+        src, dst = frag.nodes.where("kind = 'customer' AND symbol_id % 50 = 0"), frag.nodes.where("kind = 'part'")
         own = dict(options)
         for side in ("via", "avoid"):
             if side in own:
@@ -424,7 +422,7 @@ def _paths(**options: object) -> Query:
 
 
 _PATH = _EDGES.rstrip() + """, s AS (SELECT DISTINCT src, dst FROM e WHERE kind = 'calls'), deg AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM e WHERE kind = 'calls' UNION ALL SELECT dst FROM e WHERE kind = 'calls') GROUP BY id)
-SELECT a.src || '>' || a.dst || '>' || b.dst AS path FROM s a JOIN s b ON a.dst = b.src WHERE a.src BETWEEN 1000000 AND 99999999 AND a.src % 5 = 0 AND b.dst >= 10000000000 AND b.dst % 20 = 0 """
+SELECT a.src || '>' || a.dst || '>' || b.dst AS path FROM s a JOIN s b ON a.dst = b.src WHERE a.src BETWEEN 1000000 AND 99999999 AND a.src % 50 = 0 AND b.dst >= 10000000000 """
 query("g2_hop_paths", _PATH)(_paths(hops=(1, 3), max_degree=None))
 query("g2_hop_exact2", _PATH)(_paths(hops=2, max_degree=None))
 query("g2_hop_avoid", _PATH + "AND a.dst % 2 <> 0")(_paths(hops=(1, 2), max_degree=None, avoid="kind = 'order' AND symbol_id % 2 = 0"))
@@ -505,48 +503,30 @@ def g6_call_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("j8_range_match", """WITH pt AS (SELECT event_id AS point, event_type AS file, CAST(floor(value) AS INTEGER) AS line FROM events),
-rg AS (SELECT event_id AS range_id, event_type AS file, CAST(user_id % 80 AS INTEGER) AS s, CAST(user_id % 80 + event_id % 37 AS INTEGER) AS t FROM events WHERE event_id % 41 = 0),
+rg AS (SELECT event_id AS range_id, event_type AS file, CAST(user_id % 80 AS INTEGER) AS s, CAST(user_id % 80 + event_id % 37 AS INTEGER) AS t FROM events),
 j AS (SELECT point, range_id, t - s AS w FROM pt JOIN rg USING (file) WHERE s <= line AND line <= t)
 SELECT point, min(range_id) AS range_id FROM (SELECT *, min(w) OVER (PARTITION BY point) AS m FROM j) WHERE w = m GROUP BY point HAVING count(*) = 1""")
 def j8_range_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _range_match(spark, sf_dir, "event_id % 41 = 0")
-
-
-@query("j8_range_match_all")
-def j8_range_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _range_match(spark, sf_dir, "true")
-
-
-def _range_match(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     points = e.select(F.col("event_id").alias("point"), F.col("event_type").alias("file"), F.floor("value").cast("int").alias("line"))
     start = (F.col("user_id") % 80).cast("int")
-    ranges = e.where(which).select(F.col("event_id").alias("range_id"), F.col("event_type").alias("file"), start.alias("start"), (start + F.col("event_id") % 37).cast("int").alias("end"))
+    ranges = e.select(F.col("event_id").alias("range_id"), F.col("event_type").alias("file"), start.alias("start"), (start + F.col("event_id") % 37).cast("int").alias("end"))
     return G.tightest_enclosing(points, ranges)
 
 
-@query("j11_impl_resolution", """WITH p AS (SELECT DISTINCT o_custkey AS abstract, o_orderkey AS impl FROM orders WHERE o_orderkey % 10 = 0), k AS (SELECT abstract, count(*) AS n, min(impl) AS impl FROM p GROUP BY abstract)
+@query("j11_impl_resolution", """WITH p AS (SELECT DISTINCT o_custkey AS abstract, o_orderkey AS impl FROM orders), k AS (SELECT abstract, count(*) AS n, min(impl) AS impl FROM p GROUP BY abstract)
 SELECT o_orderkey AS src, o_custkey AS dst, CASE WHEN n = 1 THEN impl END AS impl, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS how FROM orders LEFT JOIN k ON abstract = o_custkey""")
 def j11_impl_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _implementations(spark, sf_dir, "o_orderkey % 10 = 0")
-
-
-@query("j11_impl_resolution_all")
-def j11_impl_resolution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _implementations(spark, sf_dir, "true")
-
-
-def _implementations(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return G.implementations(o.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")), o.where(which).select(F.col("o_custkey").alias("abstract"), F.col("o_orderkey").alias("impl")))
+    return G.implementations(o.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")), o.select(F.col("o_custkey").alias("abstract"), F.col("o_orderkey").alias("impl")))
 
 
-@query("j13_pairs_within_n", _EDGES + """, s AS (SELECT src AS a, dst AS b FROM e WHERE kind <> 'x' UNION SELECT dst, src FROM e), l AS (SELECT id FROM node WHERE kind = 'supplier' AND id % 9 = 0), r AS (SELECT id FROM node WHERE kind IN ('supplier', 'region', 'nation'))
+@query("j13_pairs_within_n", _EDGES + """, s AS (SELECT src AS a, dst AS b FROM e WHERE kind <> 'x' UNION SELECT dst, src FROM e), l AS (SELECT id FROM node WHERE kind = 'supplier'), r AS (SELECT id FROM node WHERE kind IN ('supplier', 'region', 'nation'))
 SELECT a, b, min(h) AS hops FROM (
   SELECT l.id AS a, l.id AS b, 0 AS h FROM l UNION ALL SELECT l.id, s.b, 1 FROM l JOIN s ON s.a = l.id UNION ALL SELECT DISTINCT l.id, t.b, 2 FROM l JOIN s ON s.a = l.id JOIN s t ON t.a = s.b) WHERE b IN (SELECT id FROM r) GROUP BY a, b""")
 def j13_pairs_within_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx, frag = _star(spark, sf_dir)
-    return G.pairs_within(frag.nodes.where("kind = 'supplier' AND symbol_id % 9 = 0"), frag.nodes.where("kind IN ('supplier', 'region', 'nation')"), ctx.edge_table, 2)
+    return G.pairs_within(frag.nodes.where("kind = 'supplier'"), frag.nodes.where("kind IN ('supplier', 'region', 'nation')"), ctx.edge_table, 2)
 
 
 @query("f15_graph_roles", _EDGES + """SELECT id AS symbol_id, CASE WHEN coalesce(i, 0) = 0 AND coalesce(o, 0) > 0 THEN 'entry_point' WHEN coalesce(i, 0) > 0 AND coalesce(o, 0) = 0 THEN 'leaf' WHEN coalesce(i, 0) = 0 THEN 'isolate' ELSE 'inner' END AS role
@@ -556,11 +536,11 @@ def f15_graph_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.graph_roles(ctx.symbols, ctx.edge_table.where("kind = 'calls'"))
 
 
-@query("g9_directed_reach", _EDGES + """, s AS (SELECT DISTINCT src, dst FROM e WHERE kind = 'calls'), d1 AS (SELECT DISTINCT dst AS id FROM s WHERE src % 100 = 0 AND src < 100000000)
+@query("g9_directed_reach", _EDGES + """, s AS (SELECT DISTINCT src, dst FROM e WHERE kind = 'calls'), d1 AS (SELECT DISTINCT dst AS id FROM s WHERE src % 50 = 0 AND src < 100000000)
 SELECT id AS symbol_id, min(d) AS depth FROM (SELECT id, 1 AS d FROM d1 UNION ALL SELECT dst, 2 FROM s WHERE src IN (SELECT id FROM d1)) GROUP BY id""")
 def g9_directed_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx, frag = _star(spark, sf_dir)
-    return G.directed_reach(frag.nodes.where("kind = 'customer' AND symbol_id % 100 = 0"), ctx.edge_table.where("kind = 'calls'"))
+    return G.directed_reach(frag.nodes.where("kind = 'customer' AND symbol_id % 50 = 0"), ctx.edge_table.where("kind = 'calls'"))
 
 
 @query("g7_cohere", _EDGES + """, w AS (SELECT p_partkey + 10000000000 AS id, p_size / 50.0 AS score FROM part), seed AS (SELECT id FROM w ORDER BY score DESC, id LIMIT 20),
@@ -598,12 +578,12 @@ def s12_edge_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost.edge_estimate(ctx)
 
 
-@query("s13_lift", _EDGES + """, a AS (SELECT id FROM node WHERE kind = 'nation'), b AS (SELECT id FROM node WHERE kind IN ('supplier', 'part') AND id % 2 = 0),
+@query("s13_lift", _EDGES + """, a AS (SELECT id FROM node WHERE kind = 'nation'), b AS (SELECT id FROM node WHERE kind IN ('supplier', 'part')),
 x AS (SELECT count(*) AS n FROM (SELECT DISTINCT src, dst FROM e WHERE src IN (SELECT id FROM a) AND dst IN (SELECT id FROM b) UNION SELECT DISTINCT dst, src FROM e WHERE dst IN (SELECT id FROM a) AND src IN (SELECT id FROM b)))
 SELECT round(x.n * 1.0 / ((SELECT count(*) FROM a) * 1.0 * (SELECT count(*) FROM b) * 2.0 * (SELECT count(*) FROM e) / ((SELECT count(*) FROM node) * 1.0 * (SELECT count(*) FROM node))), 6) AS lift FROM x""")
 def s13_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx, frag = _star(spark, sf_dir)
-    return M.lift(ctx, frag.nodes.where("kind = 'nation'"), frag.nodes.where("kind IN ('supplier', 'part') AND symbol_id % 2 = 0")).select(F.round("lift", 6).alias("lift"))
+    return M.lift(ctx, frag.nodes.where("kind = 'nation'"), frag.nodes.where("kind IN ('supplier', 'part')")).select(F.round("lift", 6).alias("lift"))
 
 
 _JACCARD = DOCS.rstrip() + ", ps AS (SELECT DISTINCT term, symbol_id FROM post WHERE term IN ('thor', 'heit', 'oner', 'than', 'mit')), df AS (SELECT term, count(*) AS n FROM ps GROUP BY term)\n"
@@ -695,20 +675,11 @@ def x11_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GR.merged(lexical, near).select("key", "target", F.round("score", 6).alias("score"), "reason")
 
 
-@query("x12_meta_closure", """WITH d AS (SELECT DISTINCT CAST(o_orderkey % 60 AS VARCHAR) AS specific, CAST(o_custkey % 12 AS VARCHAR) AS general FROM orders WHERE o_orderkey % 60 <> o_custkey % 12 AND o_orderkey < 60),
+@query("x12_meta_closure", """WITH d AS (SELECT DISTINCT CAST(o_orderkey % 60 AS VARCHAR) AS specific, CAST(o_custkey % 12 AS VARCHAR) AS general FROM orders WHERE o_orderkey % 60 <> o_custkey % 12),
 w AS (SELECT general AS key, specific AS target, 1.0 AS score FROM d UNION ALL SELECT a.general, b.specific, 0.8 FROM d a JOIN d b ON a.specific = b.general UNION ALL SELECT a.general, c.specific, 0.64 FROM d a JOIN d b ON a.specific = b.general JOIN d c ON b.specific = c.general)
 SELECT key, target, round(max(score), 6)::DOUBLE AS score, 'meta' AS reason FROM w WHERE key <> target GROUP BY key, target""")
 def x12_meta_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _meta_closure(spark, sf_dir, "o_orderkey < 60")
-
-
-@query("x12_meta_closure_all")
-def x12_meta_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _meta_closure(spark, sf_dir, "true")
-
-
-def _meta_closure(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where(which).where("o_orderkey % 60 <> o_custkey % 12")
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 60 <> o_custkey % 12")
     return GR.meta_closure(o.select((F.col("o_orderkey") % 60).cast("string").alias("specific"), (F.col("o_custkey") % 12).cast("string").alias("general")))
 
 
@@ -928,19 +899,10 @@ def u10_relation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.relation_plan(p, [p.where("size > 10"), p.where("kind IN ('PROMO', 'LARGE')")], [p.where("file = 'Brand#3'"), p.where("file = 'Brand#4'"), None]).select("symbol_id")
 
 
-@query("j10_equivalents", """WITH RECURSIVE p AS (SELECT DISTINCT least(s_nationkey, s_suppkey % 25) AS a, greatest(s_nationkey, s_suppkey % 25) AS b FROM supplier WHERE s_nationkey <> s_suppkey % 25 AND s_suppkey % 4 = 0), u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+@query("j10_equivalents", """WITH RECURSIVE p AS (SELECT DISTINCT least(s_nationkey, s_suppkey % 25) AS a, greatest(s_nationkey, s_suppkey % 25) AS b FROM supplier WHERE s_nationkey <> s_suppkey % 25), u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 r(id, pos) AS (SELECT DISTINCT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.pos) SELECT CAST(id AS BIGINT) AS id, CAST(min(pos) AS BIGINT) AS comp FROM r GROUP BY id""")
 def j10_equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _equivalents(spark, sf_dir, "s_suppkey % 4 = 0")
-
-
-@query("j10_equivalents_all")
-def j10_equivalents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _equivalents(spark, sf_dir, "true")
-
-
-def _equivalents(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").where(which)
+    s = table(spark, sf_dir, "supplier")
     return G.equivalents(s.select(F.col("s_nationkey").cast("long").alias("abstract"), (F.col("s_suppkey") % 25).alias("impl")))
 
 
