@@ -25,6 +25,7 @@ from fragmill.operators import structured as X
 from fragmill.operators.frag import Frag, eval_unit
 from fragmill.operators.units import Annotation, Lexical, Modifier, QueryUnit, evaluate, term_hits, unit_scores
 from fragmill.plans import cost, planner
+from fragmill.plans import structured as PS
 from fragmill.plans.spec import GraphConstraint, QuerySpec
 from fragmill.search import lexical_unit, query_terms
 from fragmill.session import cut, table
@@ -494,12 +495,22 @@ r AS (SELECT c.src, symbol_id, count(*) OVER (PARTITION BY c.src, c.name, c.rt)
 SELECT src, symbol_id AS dst, round(0.9 / n, 4) AS confidence, 'typed_receiver' AS provenance FROM tn WHERE src <> symbol_id
 UNION ALL SELECT src, symbol_id, round(0.6 / n, 4), 'name_match' FROM r WHERE n <= 40 AND src <> symbol_id""")
 def g6_call_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.call_edges(*_part_calls(spark, sf_dir), most=40).select("src", "dst", "confidence", "provenance")
+
+
+def _part_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = table(spark, sf_dir, "part")
     calls = p.select(F.col("p_partkey").alias("src"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("receiver_type"))
     members = p.select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("owner"), F.col("p_name").alias("name"))
     parent = F.concat(F.lit("Brand#"), (1 + F.substr("p_brand", F.lit(7)).cast("int") % 5).cast("string"))
     up = p.select(F.col("p_brand").alias("type"), parent.alias("parent")).distinct()
-    return G.call_edges(calls, members, up, most=40).select("src", "dst", "confidence", "provenance")
+    return calls, members, up
+
+
+@query("s18_call_outcomes", ORACLE["g6_call_confidence"].split("tn AS (")[0].rstrip().removesuffix(",") + """
+SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.src = c.src AND t.name = c.name AND t.rt IS NOT DISTINCT FROM c.rt) THEN 'typed' WHEN k <= 8 THEN 'named' WHEN k > 8 THEN 'ambiguous' ELSE 'unresolved' END AS outcome FROM c LEFT JOIN (SELECT name, count(DISTINCT symbol_id) AS k FROM m GROUP BY name) USING (name)) GROUP BY outcome""")
+def s18_call_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.call_outcomes(*_part_calls(spark, sf_dir))
 
 
 @query("j8_range_match", """WITH pt AS (SELECT event_id AS point, event_type AS file, CAST(floor(value) AS INTEGER) AS line FROM events),
@@ -906,6 +917,98 @@ def j10_equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.equivalents(s.select(F.col("s_nationkey").cast("long").alias("abstract"), (F.col("s_suppkey") % 25).alias("impl")))
 
 
+_CODE = """WITH s AS (SELECT p_partkey AS symbol_id, replace(p_name, ' ', '_') AS name, CASE p_size % 3 WHEN 0 THEN 'method' WHEN 1 THEN 'class' ELSE 'field' END AS kind, p_type AS signature, replace(p_brand, '#', '/') || '/' || p_type AS file FROM part)
+"""
+ITEMS = [("Small Widget".replace(" ", ""), "method", True), ("cold_Widget", "class", True), ("economy", "unknown", True), ("13/PROMO", "file", False), ("3/PROMO", "file", True), ("large_bolt", "enum", True)]
+
+
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as methods, classes and fields, in files of a folder for each brand."""
+    p = table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_size") % 3 == 0, "method").when(F.col("p_size") % 3 == 1, "class").otherwise("field")
+    return p.select(F.col("p_partkey").alias("symbol_id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), kind.alias("kind"), F.col("p_type").alias("signature"), F.concat(F.replace("p_brand", F.lit("#"), F.lit("/")), F.lit("/"), F.col("p_type")).alias("file"))
+
+
+@query("f17_exact_elements", _CODE + """SELECT symbol_id, 'SmallWidget' AS query, 'name' AS field, 2.0::DOUBLE AS score FROM s WHERE kind = 'method' AND lower(name) = 'small_widget'
+UNION ALL SELECT symbol_id, 'cold_Widget', 'name', 2.0 FROM s WHERE kind = 'class' AND lower(name) = 'cold_widget'
+UNION ALL SELECT symbol_id, 'economy', 'signature', 1.65 FROM s WHERE signature = 'ECONOMY'
+UNION ALL SELECT symbol_id, '13/PROMO', 'file', 1.45 FROM s WHERE file LIKE '%/13/PROMO'
+UNION ALL SELECT symbol_id, '3/PROMO', 'file', 1.75 FROM s WHERE file LIKE '%/3/PROMO'""")
+def f17_exact_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.exact_elements(_code(spark, sf_dir), ITEMS, top=None)
+
+
+@query("f14_in_path", "SELECT 'src1' AS wanted, doc_id AS symbol_id FROM documents WHERE source = 'src1' UNION ALL SELECT source || '/' || doc_id, doc_id FROM documents WHERE source || '/' || doc_id IN ('src0/0', 'src1/1')")
+def f14_in_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = A.symbols_documents(spark, sf_dir)
+    out = [X.filtered(symbols, "path", wanted=w).select(F.lit(w).alias("wanted"), "symbol_id") for w in ("src1", "src0/0", "src1/1")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("f15_with_roles", _EDGES + """SELECT id AS symbol_id FROM node LEFT JOIN (SELECT src, count(*) AS o FROM e WHERE kind = 'calls' GROUP BY src) ON src = id LEFT JOIN (SELECT dst, count(*) AS i FROM e WHERE kind = 'calls' GROUP BY dst) ON dst = id
+WHERE kind NOT IN ('customer', 'order', 'part') OR (coalesce(i, 0) = 0 AND coalesce(o, 0) > 0) OR (coalesce(i, 0) = 0 AND coalesce(o, 0) = 0)""")
+def f15_with_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx, _ = _star(spark, sf_dir)
+    return G.with_roles(ctx.symbols, ctx.edge_table.where("kind = 'calls'"), ["entry_point", "isolate"], ("customer", "order", "part")).select("symbol_id")
+
+
+@query("u8_clauses", """SELECT p_partkey AS symbol_id, 'subtract' AS does FROM part WHERE p_name LIKE '%widget%' AND p_name LIKE '%small%' AND NOT (p_type = 'PROMO' OR p_size > 40)
+UNION ALL SELECT p_partkey, 'identity' FROM part WHERE p_name LIKE '%bolt%' UNION ALL SELECT p_partkey, 'exclude_only' FROM part WHERE p_type = 'LARGE' OR p_type = 'SMALL'""")
+def u8_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = A.symbols_parts(spark, sf_dir)
+    named = lambda w: X.keyword_search(p, [(w, False, False)])
+    ran = [
+        X.condition(X.clause([named("widget"), named("small")]), X.clause([p.where("kind = 'PROMO'"), p.where("size > 40")], include=False)),
+        X.condition(X.clause([named("bolt")]), X.clause([])),
+        X.condition(X.clause([]), X.clause([p.where("kind = 'LARGE'"), p.where("kind = 'SMALL'")], include=False)),
+    ]
+    rows = [found.select("symbol_id", F.lit(does).alias("does")) for does, found in ran]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("p10_surface_relation", """SELECT p_partkey AS symbol_id FROM part WHERE ((p_type = 'PROMO' AND p_name LIKE '%widget%' AND p_name NOT LIKE '%cold%') OR regexp_matches(p_name, '\\bbolt\\b')) AND p_name NOT LIKE '%large%'
+AND (p_name LIKE '%small%' OR p_name LIKE '%b%') AND NOT (p_type = 'ECONOMY' AND p_name LIKE '%small%')""")
+def p10_surface_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = A.symbols_parts(spark, sf_dir)
+    asked = [{"types": ["promo"], "include": [["widget"]], "exclude": [["cold"]]}, {"include": [[{"text": "bolt", "whole": True}], []]}, {"types": ["any"], "exclude": [["large"]]}]
+    found = PS.surface(p, [PS.SurfaceCondition.of(x) for x in asked])
+    plan = PS.RelationPlan(include=((("keyword", {"keywords": [("small", False, False), ("b", False, False)]}),), ()), exclude=((("types", {"types": ["economy"]}), ("keyword", {"keywords": [("small", False, False)]})),))
+    return plan.run(p.join(found, "symbol_id", "left_semi")).select("symbol_id")
+
+
+_CLUSTERS = """WITH c AS (SELECT p_partkey AS symbol_id, p_brand AS cluster, CAST(substring(p_brand, 7) AS INTEGER) / 30.0 AS cs, p_retailprice AS score, p_size / 50.0 AS include, (p_partkey % 10) / 10.0 AS exclude FROM part),
+k AS (SELECT cluster, row_number() OVER (ORDER BY cs DESC, cluster) AS place, count(*) OVER () AS n FROM (SELECT cluster, max(cs) AS cs FROM c GROUP BY cluster)),
+b AS (SELECT *, ceil(n * 0.6) AS kept, least(ceil(n * 0.6), greatest(ceil(n * 0.1), 1)) AS one FROM k),
+t AS (SELECT cluster, CASE WHEN place <= one THEN 1 WHEN place <= one + least(kept - one, ceil(n * 0.2)) THEN 2 WHEN place <= kept THEN 3 ELSE 4 END AS tier FROM b)
+"""
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("cluster"), (F.substr("p_brand", F.lit(7)).cast("int") / 30.0).alias("cluster_score"), F.col("p_retailprice").alias("score"), (F.col("p_size") / 50.0).alias("include"), ((F.col("p_partkey") % 10) / 10.0).alias("exclude"))
+
+
+@query("w8_cluster_tiers", _CLUSTERS + "SELECT symbol_id, cluster, tier, CASE WHEN tier < 4 THEN 'kept' ELSE 'rescue' END AS outcome, row_number() OVER (PARTITION BY tier ORDER BY cs DESC, score DESC, symbol_id) AS tier_rank FROM c JOIN t USING (cluster)")
+def w8_cluster_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.cluster_tiers(_clustered(spark, sf_dir), defer=True)
+
+
+@query("p11_intention", _CLUSTERS.rstrip() + """,
+l AS (SELECT symbol_id, include, CASE WHEN exclude >= 0.6 THEN 'discard' WHEN include >= 0.55 AND exclude < 0.35 THEN 'keep' WHEN include < 0.2 THEN 'discard' ELSE 'gray' END AS d FROM c JOIN t USING (cluster) WHERE tier < 4),
+q AS (SELECT quantile_cont(include, 0.4) AS low, quantile_cont(include, 0.8) AS high FROM l WHERE d = 'gray'),
+a AS (SELECT symbol_id, CASE WHEN d <> 'gray' OR q.low IS NULL OR high - low < 1e-9 THEN d WHEN include >= high THEN 'keep' WHEN include < low THEN 'discard' ELSE 'gray' END AS d FROM l, q)
+SELECT symbol_id, 'cluster' AS stage, 'discard' AS decision FROM c JOIN t USING (cluster) WHERE tier = 4 UNION ALL SELECT symbol_id, CASE WHEN d = 'gray' THEN 'left' ELSE 'embedding' END, CASE WHEN d = 'gray' THEN 'keep' ELSE d END FROM a""")
+def p11_intention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PS.intention(_clustered(spark, sf_dir), PS.IntentionPlan(defer=False))
+
+
+@query("x14_corpus_sentences", "SELECT p_partkey AS symbol_id, list_concat(w, CASE WHEN list_contains(w, lower(p_type)) THEN ['brand'] ELSE [lower(p_type), 'brand'] END) AS words FROM (SELECT *, string_split(lower(p_name), ' ') AS w FROM part)")
+def x14_corpus_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    notes = F.array(F.struct(F.col("p_brand").alias("name"), F.lit("").alias("args")))
+    return I.corpus_sentences(p.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_type").alias("doc"), notes.alias("annotations")))
+
+
 _COMPOUNDS = "WITH c AS (SELECT p_partkey AS symbol_id, lower(p_name) AS name, replace(lower(p_name), ' ', '') AS term FROM part)\n"
 
 
@@ -929,6 +1032,15 @@ def x4_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.refined(posted, T.segmented(posted.select("term").distinct(), words))
 
 
+@query("x26_code_tokens", _COMPOUNDS + "SELECT DISTINCT term AS text, CASE WHEN term LIKE 'cold%' THEN [term] ELSE string_split(name, ' ') END AS tokens FROM c WHERE length(term) >= 6 UNION SELECT DISTINCT upper(left(p_name, 1)) || substring(replace(p_name, ' ', 'X'), 2), [lower(split_part(p_name, ' ', 1)), 'x' || lower(split_part(p_name, ' ', 2))] FROM part")
+def x26_code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts as one word and with a capital in between; those that begin with cold are taken for words of their own."""
+    posted, words = _compounds(spark, sf_dir)
+    joined = F.replace("p_name", F.lit(" "), F.lit("X"))
+    cased = table(spark, sf_dir, "part").select(F.concat(F.upper(F.left(joined, F.lit(1))), F.substr(joined, F.lit(2))).alias("text"))
+    return I.code_tokens(posted.select(F.col("term").alias("text")).unionByName(cased), words, posted.where("term LIKE 'cold%'").select("term"))
+
+
 @query("x18_fuzzy")
 def x18_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")

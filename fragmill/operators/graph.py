@@ -139,14 +139,8 @@ def contains_edges(symbols: DataFrame) -> DataFrame:
     return rows.select("src", F.col("symbol_id").alias("dst"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"), F.lit("derived_container").alias("provenance"))
 
 
-def call_edges(calls: DataFrame, members: DataFrame, supertypes: DataFrame, *, depth: int = 3, most: int = 8) -> DataFrame:
-    """Call edges of ``calls(src, name, receiver_type)`` among ``members(symbol_id, owner, name)``.
-
-    A typed receiver resolves to the methods of the nearest type, itself or a
-    supertype (``supertypes(type, parent)``), at 0.9 shared between them; a
-    call without one resolves by name at 0.6 shared, if at most ``most`` share
-    it.  Calls to oneself are dropped after the sharing.
-    """
+def _call_targets(calls: DataFrame, members: DataFrame, supertypes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls with a key; (call, src, symbol_id) by the nearest type that has the method, and by name for the calls that have none."""
     call = calls.withColumn("call", F.xxhash64("src", "name", "receiver_type"))
     at = call.where("receiver_type IS NOT NULL").select("call", "src", "name", F.col("receiver_type").alias("type"), F.lit(0).alias("d"))
     walk = at
@@ -158,6 +152,25 @@ def call_edges(calls: DataFrame, members: DataFrame, supertypes: DataFrame, *, d
     typed = typed.join(nearest, ["call", "d"]).distinct()
     rest = call.join(nearest, "call", "left_anti")
     named = rest.join(members.select(F.col("name").alias("n"), "symbol_id"), F.col("name") == F.col("n")).select("call", "src", "symbol_id").distinct()
+    return call, typed.select("call", "src", "symbol_id"), named
+
+
+def call_outcomes(calls: DataFrame, members: DataFrame, supertypes: DataFrame, *, depth: int = 3, most: int = 8) -> DataFrame:
+    """outcome and n of distinct calls: typed, named, ambiguous (more than ``most`` share the name) or unresolved."""
+    call, typed, named = _call_targets(calls.distinct(), members, supertypes, depth)
+    found = typed.groupBy("call").agg(F.lit("typed").alias("outcome")).unionByName(named.groupBy("call").agg(F.when(F.count("*") <= most, "named").otherwise("ambiguous").alias("outcome")))
+    return call.select("call").join(found, "call", "left").groupBy(F.coalesce("outcome", F.lit("unresolved")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def call_edges(calls: DataFrame, members: DataFrame, supertypes: DataFrame, *, depth: int = 3, most: int = 8) -> DataFrame:
+    """Call edges of ``calls(src, name, receiver_type)`` among ``members(symbol_id, owner, name)``.
+
+    A typed receiver resolves to the methods of the nearest type, itself or a
+    supertype (``supertypes(type, parent)``), at 0.9 shared between them; a
+    call without one resolves by name at 0.6 shared, if at most ``most`` share
+    it.  Calls to oneself are dropped after the sharing.
+    """
+    _, typed, named = _call_targets(calls, members, supertypes, depth)
 
     def shared(rows: DataFrame, confidence: float, provenance: str, cap: int | None) -> DataFrame:
         counts = rows.groupBy("call").agg(F.count("*").alias("n"))
@@ -165,7 +178,7 @@ def call_edges(calls: DataFrame, members: DataFrame, supertypes: DataFrame, *, d
         out = rows.join(counts, "call").where(F.col("src") != F.col("symbol_id"))
         return out.select("src", F.col("symbol_id").alias("dst"), F.lit("calls").alias("kind"), F.round(F.lit(confidence) / F.col("n"), 4).alias("confidence"), F.lit(provenance).alias("provenance"))
 
-    return shared(typed.select("call", "src", "symbol_id"), 0.9, "typed_receiver", None).unionByName(shared(named, 0.6, "name_match", most))
+    return shared(typed, 0.9, "typed_receiver", None).unionByName(shared(named, 0.6, "name_match", most))
 
 
 def tightest_enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -234,6 +247,13 @@ def graph_roles(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select("symbol_id", F.when((i == 0) & (o > 0), "entry_point").when((i > 0) & (o == 0), "leaf").when((i == 0) & (o == 0), "isolate").otherwise("inner").alias("role"))
 
 
+def with_roles(symbols: DataFrame, edges: DataFrame, wanted: Sequence[str], callables: Sequence[str] = ("method", "constructor", "function"), include: bool = True) -> DataFrame:
+    """Callable symbols of any of the wanted roles; others stay on the include side and are no match on the exclude side."""
+    called = F.lower("kind").isin(list(callables))
+    matches = symbols.where(called).join(graph_roles(symbols.where(called), edges).where(F.col("role").isin(list(wanted))), "symbol_id", "left_semi")
+    return matches.unionByName(symbols.where(~called | F.col("kind").isNull())) if include else matches
+
+
 def implementation_pairs(pairs: DataFrame, symbols: DataFrame) -> DataFrame:
     """abstract, impl, their names and unique (the abstract one has no other implementation) of ``pairs(abstract, impl)`` whose ends ``symbols(symbol_id, name)`` has."""
     names = symbols.select("symbol_id", "name")

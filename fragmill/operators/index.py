@@ -61,7 +61,20 @@ def vocabulary(stats: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def corpus_sentences(symbols: DataFrame, doc_words: int = 60) -> DataFrame:
-    """Distinct words of a symbol's name, container, signature and doc; two words at least."""
+    """Distinct words of a symbol's name, container, signature, doc and annotations; two words at least."""
     have = [T.split_identifier(c) for c in ("name", "container", "signature") if c in symbols.columns]
-    words = F.array_distinct(F.concat(*have, T.words_of("doc", doc_words)))
+    have.append(T.words_of("doc", doc_words))
+    if "annotations" in symbols.columns:
+        notes = F.coalesce("annotations", F.array().cast("array<struct<name:string,args:string>>"))
+        have.append(F.flatten(F.transform(notes, lambda a: F.concat(T.split_identifier(a["name"]), T.argument_tokens(a["args"])))))
+    words = F.array_distinct(F.concat(*have))
     return symbols.select("symbol_id", words.alias("words")).where(F.size("words") >= 2)
+
+
+def code_tokens(texts: DataFrame, lexicon: DataFrame, english: DataFrame) -> DataFrame:
+    """text and tokens of ``texts(text)``: pieces by case first; what that leaves whole and is no word of ``english(term)`` is segmented by ``lexicon(term, n)``."""
+    cased = texts.select("text").distinct().withColumn("own", T.split_identifier("text"))
+    only = F.when(F.size("own") == 1, F.try_element_at("own", F.lit(1)))
+    whole = cased.select(only.alias("term")).where("term IS NOT NULL").distinct().join(english.select("term"), "term", "left_anti")
+    pieces = T.segmented(whole, lexicon)
+    return cased.withColumn("term", only).join(pieces, "term", "left").select("text", F.coalesce("pieces", "own").alias("tokens"))

@@ -17,8 +17,8 @@ from fragmill.session import share_package
 _CALL = pa.struct([("name", pa.string()), ("receiver", pa.string())])
 _NOTE = pa.struct([("name", pa.string()), ("args", pa.string())])
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_FIELDS = [("file", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("span", _SPAN), ("signature", pa.string()), ("container", pa.string()), ("doc", pa.string()), ("modifiers", pa.list_(pa.string())), ("annotations", pa.list_(_NOTE)), ("calls", pa.list_(_CALL)), ("supertypes", pa.list_(pa.string())), ("error", pa.string())]
-DECLARATIONS = "file string, name string, kind string, span struct<start:int,end:int>, signature string, container string, doc string, modifiers array<string>, annotations array<struct<name:string,args:string>>, calls array<struct<name:string,receiver:string>>, supertypes array<string>, error string"
+_FIELDS = [("file", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("span", _SPAN), ("signature", pa.string()), ("container", pa.string()), ("doc", pa.string()), ("modifiers", pa.list_(pa.string())), ("annotations", pa.list_(_NOTE)), ("calls", pa.list_(_CALL)), ("supertypes", pa.list_(pa.string())), ("locals", pa.map_(pa.string(), pa.string())), ("error", pa.string())]
+DECLARATIONS = "file string, name string, kind string, span struct<start:int,end:int>, signature string, container string, doc string, modifiers array<string>, annotations array<struct<name:string,args:string>>, calls array<struct<name:string,receiver:string>>, supertypes array<string>, locals map<string,string>, error string"
 
 
 class Language(ABC):
@@ -56,15 +56,23 @@ class Python(Language):
             for child in ast.iter_child_nodes(node):
                 if isinstance(child, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
                     kind = "class" if isinstance(child, ast.ClassDef) else "method" if isinstance(node, ast.ClassDef) else "function"
-                    calls = []
+                    calls, scope = [], {}
                     if kind != "class":
+                        for a in (*child.args.posonlyargs, *child.args.args, *child.args.kwonlyargs):
+                            if isinstance(a.annotation, ast.Name):
+                                scope[a.arg] = a.annotation.id
+                        for c in ast.walk(child):
+                            target = c.target if isinstance(c, ast.AnnAssign) else c.targets[0] if isinstance(c, ast.Assign) and len(c.targets) == 1 else None
+                            made = c.annotation if isinstance(c, ast.AnnAssign) else c.value.func if target is not None and isinstance(c.value, ast.Call) else None
+                            if isinstance(target, ast.Name) and isinstance(made, ast.Name) and made.id[:1].isupper():
+                                scope[target.id] = made.id
                         for c in ast.walk(child):
                             if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute)):
                                 owner = c.func.value if isinstance(c.func, ast.Attribute) else None
                                 calls.append({"name": c.func.attr if owner is not None else c.func.id, "receiver": owner.id if isinstance(owner, ast.Name) else None})
                     notes = [{"name": ast.unparse(d.func if isinstance(d, ast.Call) else d), "args": ", ".join(map(ast.unparse, d.args)) if isinstance(d, ast.Call) else ""} for d in child.decorator_list]
                     signature = child.name + ("" if kind == "class" else f"({ast.unparse(child.args)})")
-                    out.append({"name": child.name, "kind": kind, "span": {"start": child.lineno, "end": child.end_lineno}, "signature": signature, "container": container, "doc": ast.get_docstring(child) or "", "modifiers": ["async"] if isinstance(child, ast.AsyncFunctionDef) else [], "annotations": notes, "calls": calls, "supertypes": [ast.unparse(b) for b in child.bases] if kind == "class" else []})
+                    out.append({"name": child.name, "kind": kind, "span": {"start": child.lineno, "end": child.end_lineno}, "signature": signature, "container": container, "doc": ast.get_docstring(child) or "", "modifiers": ["async"] if isinstance(child, ast.AsyncFunctionDef) else [], "annotations": notes, "calls": calls, "locals": scope, "supertypes": [ast.unparse(b) for b in child.bases] if kind == "class" else []})
                     walk(child, f"{container}.{child.name}" if container else child.name)
                 else:
                     walk(child, container)
@@ -100,6 +108,17 @@ class Java(Language):
         def owner() -> str:
             return ".".join(s["name"] for s in scopes if s and s["kind"] in _TYPES)
 
+        def typed(words: list[str], k: int) -> str | None:
+            """The type before the name at ``k``, without its parameters."""
+            j = k - 1
+            if j >= 0 and words[j] == ">":
+                level = 1
+                while j > 0 and level:
+                    j -= 1
+                    level += (words[j] == ">") - (words[j] == "<")
+                j -= 1
+            return words[j].rpartition(".")[2] if j >= 0 and re.fullmatch(r"(?:[\w$]+\.)*[A-Z][\w$]*", words[j]) else None
+
         def declared(ends_in: str, line: int) -> dict | None:
             nonlocal doc
             words = ["annotation_type" if t == "@interface" else t for t, _ in head]
@@ -135,11 +154,20 @@ class Java(Language):
                 if re.fullmatch(r"[A-Za-z_$][\w$]*", left[-1]) and len(left) > 1:
                     found = {"name": left[-1], "kind": "field", "supertypes": []}
             if found:
-                found |= {"span": {"start": head[0][1], "end": line}, "signature": " ".join(rest), "container": owner(), "doc": doc, "modifiers": mods, "annotations": notes, "calls": []}
+                found |= {"span": {"start": head[0][1], "end": line}, "signature": " ".join(rest), "container": owner(), "doc": doc, "modifiers": mods, "annotations": notes, "calls": [], "locals": {}}
+                if "(" in rest and found["kind"] in ("method", "constructor"):
+                    found["locals"] = {rest[k]: kind for k in range(rest.index("(") + 1, len(rest) - 1) if rest[k + 1] in ",)" and (kind := typed(rest, k))}
                 out.append(found)
             doc = ""
             return found
 
+        def local(k: int) -> None:
+            """Notes the variable that a body declares right before token ``k``."""
+            body = next((s for s in reversed(scopes) if s and s["kind"] in ("method", "constructor")), None)
+            near = [t for t, _ in tokens[max(0, k - 24) : k]]
+            if body and len(near) > 1 and re.fullmatch(r"[a-z_$][\w$]*", near[-1]) and (kind := typed(near, len(near) - 1)):
+                body["locals"].setdefault(near[-1], kind)
+
         for k, (t, line) in enumerate(tokens):
             if t.startswith("/**"):
                 doc = self._doc(t)
@@ -153,12 +181,15 @@ class Java(Language):
                     done["span"]["end"] = line
                 head = []
             elif t == ";" and depth == 0:
+                local(k)
                 if head:
                     declared(";", line)
                 head = []
             else:
                 depth = max(0, depth + (t == "(") - (t == ")"))
                 head.append((t, line))
+                if t in "=:":
+                    local(k)
                 body = next((s for s in reversed(scopes) if s and s["kind"] in ("method", "constructor")), None)
                 if body and t == "(" and k and re.fullmatch(r"[\w$.]+", tokens[k - 1][0]) and tokens[k - 1][0] not in _NO_CALL and (k < 2 or tokens[k - 2][0] != "new"):
                     receiver, _, name = tokens[k - 1][0].rpartition(".")

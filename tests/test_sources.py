@@ -110,6 +110,47 @@ def test_traces(spark, tmp_path):
     assert [(r.turn, r.role, r.tool, r.text) for r in got] == [(0, "user", None, "find it"), (1, "assistant", None, "a\nb"), (2, "tool", "rg", "out")]
 
 
+def test_trace_errors_have_lines(spark, tmp_path):
+    good = {"repo": "r", "language": "java", "instance_id": "i", "trajectory_id": "t", "trajectory": [{"role": "user", "content": "x"}]}
+    lines = [json.dumps(good), "", "{broken", "[1]", json.dumps({**good, "language": "Go"}), json.dumps({**good, "repo": " "}), json.dumps({**good, "trajectory": []}), json.dumps(good)]
+    path = tmp_path / "t.jsonl"
+    path.write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+    try:
+        got = [(r.line, r.error) for r in traces.trace_errors(spark, str(path)).orderBy("line").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(3, "invalid JSON"), (4, "no JSON object"), (5, "no Java trace: Go"), (6, "missing repo"), (7, "no trajectory")]
+    with pytest.raises(ValueError, match="line 3: invalid JSON"):
+        traces.read_traces(spark, str(path), strict=True)
+    path.write_text(json.dumps(good))
+    assert traces.read_traces(spark, str(path), strict=True).count() == 1
+
+
+def test_corpus_grows(spark, tmp_path):
+    from fragmill.sources import corpus
+
+    rows = spark.createDataFrame([(1, ["a", "b"])], "symbol_id long, words array<string>")
+    for _ in range(2):
+        corpus.append(rows, str(tmp_path / "c"))
+    assert corpus.size(spark, str(tmp_path / "c")) == 2
+    assert corpus.read(spark, str(tmp_path / "c")).first().words == ["a", "b"]
+
+
+def test_receivers_by_scope_and_field(spark, tmp_path):
+    from fragmill.project import build
+
+    source = """class Foo { void hit() { } } class Other { void hit() { } } class Bar { void go() { } }
+class A { private Foo foo; void run(Bar b) { Other o = new Other(); b.go(); o.hit(); foo.hit(); this.foo.hit(); nobody.lost(); } }"""
+    declared = files.declarations(spark.createDataFrame([("A.java", source)], "file string, text string"), "java")
+    meta = build(spark, str(tmp_path / "index"), declared)
+    parts, _ = store.load(spark, str(tmp_path / "index"))
+    names = {r.symbol_id: f"{r.container}.{r.name}" for r in parts["symbols"].collect()}
+    edges = {(names[r.src], names[r.dst], r.provenance) for r in parts["edges"].where("kind = 'calls'").collect()}
+    assert edges == {("A.run", "Bar.go", "typed_receiver"), ("A.run", "Other.hit", "typed_receiver"), ("A.run", "Foo.hit", "typed_receiver")}
+    assert meta["built"]["typed"] == 3 and meta["built"]["unresolved"] == 1 and meta["built"]["calls"] == 3 and meta["built"]["contains"] == 5
+
+
 def test_streaming_postings_equal_batch(spark, tmp_path):
     from fragmill.operators import index as I
 
