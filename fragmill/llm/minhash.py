@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from fragmill.llm import bytesops as B
 from fragmill.llm.components import connected_components
-from fragmill.llm.runtime import cut
+from fragmill.llm.runtime import cut, maybe_broadcast
 
 SIZE, MISS = 128, 1e-6
 #: Rounds of stars before the block comparison.
@@ -266,7 +266,7 @@ def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # What a hot bucket meets is cut first: then Spark can split the bucket's rows over tasks.
     shared = cut(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket"))
     buckets = cut(buckets.join(shared, "bucket"))
-    ids = buckets.select("rep").distinct()
+    ids = cut(buckets.select("rep").distinct())
     sets = cut(alike.join(ids, "rep").select("rep", "least", "fp1", "fp2", "bands").join(texts.select(F.col("doc_id").alias("least"), "text"), "least").mapInArrow(set_maker(width), "rep long, bands array<bigint>, elements array<bigint>"))
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -282,10 +282,13 @@ def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
         met = per.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max(F.struct("n", *order, "weight")).alias("top")).where("comps > 1")
         return cut(met.select("bucket", F.col("top.comp").alias("top"), "n", "weight", (F.col("n") - F.col("top.n")).alias("rest"), (F.col("weight") - F.col("top.weight")).alias("rest_weight"), *[F.col(f"top.{c}") for c in extra]))
 
-    links = spark.createDataFrame([], "a long, b long")
-    comps = ids.select("rep", F.col("rep").alias("comp"))
+    def placed(comps: DataFrame | None) -> DataFrame:
+        """Members of buckets with their components; before the first links each is its own, and buckets stay where they lie."""
+        return buckets.withColumn("comp", F.col("rep")) if comps is None else buckets.join(comps, "rep")
+
+    links, comps = spark.createDataFrame([], "a long, b long"), None
     for seed in range(ROUNDS):
-        now = buckets.join(comps, "rep")
+        now = placed(comps)
         stars = split(now, F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), "rep")).alias("lead"))
         pairs = now.join(stars.select("bucket", "top", "lead"), "bucket").where("comp <> top").groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("lead")).select(F.col("lead.rep").alias("a"), "b")
         found = cut(checked(pairs))
@@ -294,10 +297,10 @@ def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
         links = links.unionByName(found)
         comps = cut(connected_components(ids.withColumnRenamed("rep", "id"), links).toDF("rep", "comp"))
 
-    now = buckets.join(comps, "rep")
+    now = placed(comps)
     parts = lambda n, weight, most: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(weight) / SHINGLES))
     met = split(now).select("bucket", "top", parts("n", "weight", BLOCK).alias("blocks"), parts("rest", "rest_weight", PROBES).alias("parts"))
-    open_ = now.join(met, "bucket")
+    open_ = cut(now.join(met, "bucket"))
     place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     members = open_.select("bucket", "band", place("block", "blocks").alias("block"), every("parts").alias("part"), "rep", "comp", F.lit(False).alias("probe"))
@@ -307,8 +310,13 @@ def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     if not last.isEmpty():
         comps = connected_components(ids.withColumnRenamed("rep", "id"), links.unionByName(last)).toDF("rep", "comp")
 
-    lowest = comps.join(alike.select("rep", "least"), "rep").groupBy("comp").agg(F.min("least").alias("lowest"))
-    classes = alike.join(comps.join(lowest, "comp").select("rep", "lowest"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("lowest", "least").alias("component_id"))
+    classes = alike.withColumnRenamed("least", "component_id")
+    if comps is not None:
+        named = cut(comps.join(alike.select("rep", "least"), "rep"))
+        lowest = named.groupBy("comp").agg(F.min("least").alias("lowest"))
+        lower = maybe_broadcast(cut(named.join(lowest, "comp").where("lowest < least").select("rep", "lowest")))
+        classes = alike.join(lower, "rep", "left").withColumn("component_id", F.coalesce("lowest", "least"))
+    classes = classes.select("fp1", "fp2", "n_shingles", "component_id")
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2", "text_key").join(classes, ["fp1", "fp2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
 
