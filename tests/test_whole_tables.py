@@ -6,6 +6,7 @@ from itertools import product
 import pytest
 
 from fragmill import catalog
+from fragmill.operators import grounding as GR
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +68,20 @@ def test_equivalents(spark, small):
             comp[a] = comp[b] = min(comp[a], comp[b])
     assert result(spark, small, "j10_equivalents") == sorted(comp.items())
     assert len(set(comp.values())) > 1
+
+
+def test_vocabulary_of_whole_texts(spark, tmp_path):
+    """Words after the fortieth count, once for each doc_id, however many rows it has."""
+    filler = " ".join(f"{'abcdefgh'[k % 8]}{'abcdefgh'[k // 8]}" for k in range(50))
+    rows = [(k, f"{filler} zebra zebrawood", "en", "src") for k in (1, 2, 2)] + [(k, filler, "en", "src") for k in range(3, 20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    words, targets = catalog._whole_vocabulary(spark, str(tmp_path))
+    assert {"zebra", "zebrawood"} <= {r.word for r in words.collect()}
+    assert {r.term: r.df for r in targets.where("term LIKE 'zeb%'").collect()} == {"zebra": 2, "zebrawood": 2}
+    assert ("zebrawood", "zebra", 1) in {tuple(r) for r in catalog.QUERIES["w5_topk_per_key"](spark, str(tmp_path)).collect()}
+
+
+def test_subsequences_of_words(spark):
+    words = spark.createDataFrame([("abcde",), ("abc",)], "word string")
+    df = words.select(GR.short_subsequences("word").alias("s"), "word")
+    assert {r.word: sorted(r.s) for r in df.collect()} == {"abcde": sorted(["abc", "abd", "abe", "acd", "ace", "ade", "abcd", "abce", "abde", "acde"]), "abc": []}
