@@ -43,6 +43,18 @@ def degree(frag: Frag, ctx: Context, *, edge: str | Sequence[str] | None = "call
     if all(x is None for x in (min_in, max_in, min_out, max_out)):
         return frag
     kinds = [edge] if isinstance(edge, str) else edge
+    bounds = (("n_in", "dst", min_in, max_in), ("n_out", "src", min_out, max_out))
+    if any(low is not None and low > 0 for _, _, low, _ in bounds) and all(high is None or high >= 0 for _, _, _, high in bounds):
+        # What no edge touches is below a bound, so each side is counted alone and no node meets the counts before they are cut.
+        chosen = ctx.edge_table if kinds is None else ctx.edge_table.where(_one_of("kind", list(kinds)))
+        out = frag
+        for _, end, low, high in sorted(bounds, key=lambda b: -(b[2] or 0)):
+            counts = chosen.groupBy(F.col(end).alias("symbol_id")).agg(F.count("*").alias("n"))
+            if low is not None and low > 0:
+                out = out.induced(counts.where((F.col("n") >= low) & (F.lit(True) if high is None else F.col("n") <= high)).select("symbol_id"))
+            elif high is not None:
+                out = out._trimmed(out.nodes.join(counts.where(F.col("n") > high).select("symbol_id"), "symbol_id", "left_anti"))
+        return out
     found = frag.nodes.select("symbol_id").join(degrees(ctx.edge_table, kinds), "symbol_id", "left").fillna(0, ["n_in", "n_out"])
     for column, low, high in (("n_in", min_in, max_in), ("n_out", min_out, max_out)):
         found = found.where(F.lit(True) if low is None else F.col(column) >= low).where(F.lit(True) if high is None else F.col(column) <= high)
