@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragmill.model import Context
+from fragmill.session import maybe_broadcast
 
 # Shares worth naming, and the bounds of a term partition.
 KIND_SHARE, FIELD_SHARE = 0.25, 0.15
@@ -159,8 +160,11 @@ def mismatch(rows: DataFrame, stats: DataFrame, vectors: DataFrame, least: int =
 
 def phrase_vectors(phrases: DataFrame, vectors: DataFrame) -> DataFrame:
     """id and v, the mean of the vectors of a phrase's words, of ``phrases(id, words)``; words without a vector do not count, phrases of none vanish."""
-    words = phrases.select("id", F.explode("words").alias("term")).join(vectors.select("term", "v"), "term")
-    return mean_vectors(words.select(F.col("id").alias("key"), "v")).withColumnRenamed("key", "id")
+    words = phrases.select("id", F.explode("words").alias("term")).join(maybe_broadcast(vectors.select("term", "v")), "term")
+    # A phrase is short, so its vectors stand in one row; no row is made for each of their numbers.
+    held = words.groupBy("id").agg(F.collect_list("v").alias("vs")).where(F.size("vs") > 0)
+    total = F.aggregate(F.slice("vs", 2, F.size("vs")), F.transform(F.element_at("vs", 1), lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda p, q: p + q.cast("double")))
+    return held.select("id", F.transform(total, lambda x: x / F.size("vs")).alias("v"))
 
 
 def phrase_similarity(pairs: DataFrame, phrases: DataFrame, vectors: DataFrame) -> DataFrame:
