@@ -49,3 +49,17 @@ def test_clusters_and_ladders(spark):
     assert got[9] == "keep" and got[0] == "discard" and got[20] == "discard" and got[2] == "discard" and got[5] == "keep"
     groups = [rows.where("symbol_id < 5"), rows.where("symbol_id > 2")]
     assert sorted(r.symbol_id for r in X.and_hop(groups, None, []).collect()) == [3, 4]
+
+
+def test_best_of_a_block_equals_the_full_sort():
+    """Many ties; what cannot be among the best is not sorted."""
+    import numpy as np
+
+    from fragmill.operators.grounding import _best
+
+    rng = np.random.default_rng(0)
+    for n, k in ((3, 5), (40, 5), (200, 7)):
+        cosine, names = np.round(rng.normal(size=(30, n)), 1), rng.permutation(n)
+        _, column = _best(cosine, names, k)
+        order = np.lexsort((np.broadcast_to(names, cosine.shape), -np.round(cosine, 9)), axis=1)[:, :k]
+        assert (column.reshape(30, -1) == order).all()
