@@ -85,3 +85,19 @@ def test_subsequences_of_words(spark):
     words = spark.createDataFrame([("abcde",), ("abc",)], "word string")
     df = words.select(GR.short_subsequences("word").alias("s"), "word")
     assert {r.word: sorted(r.s) for r in df.collect()} == {"abcde": sorted(["abc", "abd", "abe", "acd", "ace", "ade", "abcd", "abce", "abde", "acde"]), "abc": []}
+
+
+@pytest.mark.parametrize(("small", "most"), [(True, 1), (False, 0)])
+def test_words_do_not_pass_the_driver(spark, monkeypatch, small, most):
+    """Of all that rules join, only the counted short targets may be broadcast; exploded words look small to Spark and are not."""
+    if not small:
+        monkeypatch.setattr(GR, "maybe_broadcast", lambda df: df)
+    names = ["".join(x) for n in (3, 4, 5) for x in product("abc", repeat=n)]
+    words = spark.createDataFrame([(x,) for x in names], "word string")
+    targets = spark.createDataFrame([(x,) for x in names[::3]], "term string")
+    pairs = GR.lexical_pairs(words, targets)
+    ran = pairs._jdf.queryExecution()
+    assert ran.toRdd().count() > 100
+    final = ran.executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("BroadcastHashJoin") == most
+    assert final.count("SortMergeJoin") == 3 - most
