@@ -1,6 +1,7 @@
 """The queries over every row, against brute force on a small fixture."""
 
 import random
+import re
 from itertools import product
 
 import pytest
@@ -101,3 +102,43 @@ def test_words_do_not_pass_the_driver(spark, monkeypatch, small, most):
     final = ran.executedPlan().toString().split("Initial Plan")[0]
     assert final.count("BroadcastHashJoin") == most
     assert final.count("SortMergeJoin") == 3 - most
+
+
+def test_rules_list_disjoint_pairs(spark):
+    """Each pair once, by the first rule that holds, against all pairs; each rule alone gives the same rows."""
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abcr") for _ in range(rng.randrange(2, 9))) for _ in range(300)})
+    words = spark.createDataFrame([(x,) for x in names + names[:9]], "word string")
+    targets = spark.createDataFrame([(x,) for x in names[::2] + names[:10:2]], "term string")
+    bone = {x: x[0] + re.sub(r"(.)\1+", r"\1", re.sub("[aeiou]", "", x[1:])) for x in names}
+
+    def rule(key, target):
+        if len(target) < 3 or len(key) <= len(target):
+            return None
+        if key.startswith(target):
+            return "prefix"
+        if bone[key] == bone[target]:
+            return "abbrev"
+        letters = iter(key[1:])
+        held = key[0] == target[0] and len(target) <= 5 and len(key) <= 3 * len(target) and all(c in letters for c in target[1:])
+        return "subseq" if held else None
+
+    want = sorted((k, t, 0.5 if r == "subseq" else 0.75, r) for k, t in product(names, names[::2]) if (r := rule(k, t)))
+    assert sorted(map(tuple, GR.lexical_pairs(words, targets).collect())) == want
+    for reason in GR.RULES:
+        alone = [x for x in want if x[3] == reason]
+        assert len(alone) > 50
+        assert sorted(map(tuple, GR.lexical_pairs(words, targets, [reason]).collect())) == alone
+
+
+@pytest.mark.parametrize("name", ["x9_prefix", "x9_abbrev"])
+def test_one_rule_joins_for_itself_alone(spark, tmp_path, name):
+    """A query of one rule neither lists subsequences, nor broadcasts, nor gathers the pairs of all rules."""
+    rows = [(k, "zebra zbr zebrawood contract cntrct", "en", "src") for k in (1, 2)] + [(k, "else", "en", "src") for k in range(3, 40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    ran = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution()
+    assert ran.toRdd().count() >= 1
+    final = ran.executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("SortMergeJoin") == 1
+    assert "Broadcast" not in final
+    assert "min(rule" not in final
