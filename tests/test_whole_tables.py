@@ -142,3 +142,24 @@ def test_one_rule_joins_for_itself_alone(spark, tmp_path, name):
     assert final.count("SortMergeJoin") == 1
     assert "Broadcast" not in final
     assert "min(rule" not in final
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_abbreviations_are_never_broadcast(spark, tmp_path, adaptive):
+    """However high the session's thresholds are, no rows of x9_abbrev come to the driver for a broadcast."""
+    rows = [(k, "message mesage msg msgs context contxt", "en", "src") for k in (1, 2)] + [(k, "else", "en", "src") for k in range(3, 40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1g", "spark.sql.adaptive.autoBroadcastJoinThreshold": "1g", "spark.sql.adaptive.enabled": adaptive}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        pairs = catalog.QUERIES["x9_abbrev"](spark, str(tmp_path))
+        got = sorted((r.key, r.target) for r in pairs.collect())
+        final = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == [("context", "contxt"), ("mesage", "msg"), ("message", "mesage"), ("message", "msg")]
+    assert "Broadcast" not in final
+    assert "Join" in final
